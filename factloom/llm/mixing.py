@@ -12,8 +12,8 @@ in which the target is reached is found from those sums, and only that slice's r
 The slice is that of q / (1 + q) for the rank q; around q = 1, where the target is reached, a slice holds
 at most about 1/SLICES of a source's rows, whatever p is.
 
-Defined results: a null text has size 0; a null source is a source of its own, the last by name; rows that
-repeat a doc_id are sampled as rows of their own, ties going by doc_id and size; an empty table gives an
+Defined results: a null text has size 0; a null source is a source of its own, the last by name; rows of
+one doc_id and size are taken or left together; an empty table gives an
 empty mix. A source without words has target 0.
 """
 
@@ -68,63 +68,83 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     )
 
 
-def by_source(rows: DataFrame, table: DataFrame, n: int) -> DataFrame:
-    """rows with the columns of a table of n rows, one a source."""
-    other = table.withColumnRenamed("source", "of_source")
-    joined = rows.join(F.broadcast(other) if n <= BROADCAST_ROWS else other, rows["source"].eqNullSafe(other["of_source"]), "left")
-    return joined.drop("of_source")
+def with_source(rows: DataFrame, table: DataFrame, n: int) -> DataFrame:
+    """rows with the struct _mix of a table of n rows, one a source."""
+    other = table.select(F.col("source").alias("_of_source"), F.struct(*[c for c in table.columns if c != "source"]).alias("_mix"))
+    return rows.join(F.broadcast(other) if n <= BROADCAST_ROWS else other, rows["source"].eqNullSafe(other["_of_source"]), "left").drop("_of_source")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies (whole copies the mix takes) for every row of docs."""
-    sized = checkpointed(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
+def whole_copies() -> Column:
+    """Certain copies of each of a source's documents."""
+    return F.coalesce(F.floor("_mix.expected"), F.lit(0)).cast("long")
+
+
+def rank(seed: str) -> Column:
+    """Odds of a random number over the odds of inclusion; null where no fraction is left to sample."""
+    u, p = uniform(F.col("doc_id"), seed), F.col("_mix.expected") - F.floor("_mix.expected")
+    return F.when(p > 0, F.try_divide(u / (1 - u), p / (1 - p)))
+
+
+def slice_of(q: Column) -> Column:
+    return F.floor(SLICES * (q / (1 + q)))
+
+
+def selection(sized: DataFrame, weights: tuple[int, ...], share: float, most: int, seed: str) -> tuple[DataFrame, int]:
+    """One row a source: its size, target, expected copies of a document, and the last rank that is taken; and the number of rows."""
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = checkpointed(source_targets(totals, weights, share, most))
+    targets = source_targets(totals, weights, share, most)
+    targets = checkpointed(targets.withColumn("expected", F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))))
     n = targets.count()
-
-    expected = F.when(F.col("source_size") > 0, F.try_divide(F.col("target"), F.col("source_size"))).otherwise(F.lit(0.0))
-    u, p = uniform(F.col("doc_id"), seed), F.col("p")
-    ranked = (
-        by_source(sized, targets, n)
-        .withColumn("e", expected)
-        .withColumn("whole", F.floor("e").cast("long"))
-        .withColumn("p", F.col("e") - F.floor("e"))
-        .withColumn("u", u)
-        .withColumn("q", F.when(p > 0, F.try_divide(F.col("u") / (1 - F.col("u")), p / (1 - p))))
-        .withColumn("slice", F.floor(SLICES * (F.col("q") / (1 + F.col("q")))))
-        .drop("e", "p", "u", "weight")
-    )
-    sums = ranked.groupBy("source", "slice").agg(F.sum("size").alias("words"), F.sum(F.col("whole") * F.col("size")).alias("certain"))
-    sums = by_source(sums, targets, n)
-    in_order = Window.partitionBy("source").orderBy(F.col("slice").asc_nulls_last())
-    of_source = Window.partitionBy("source")
+    ranked = with_source(sized, targets, n).withColumn("q", rank(seed)).filter("q is not null").withColumn("slice", slice_of(F.col("q")))
+    before = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    need = F.col("_mix.target") - whole_copies() * F.col("_mix.source_size")
     cut = (
-        sums.withColumn("need", F.col("target") - F.sum("certain").over(of_source))
-        .withColumn("before", F.coalesce(F.sum("words").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .filter(F.col("slice").isNotNull() & (F.col("before") < F.col("need")) & (F.col("before") + F.col("words") >= F.col("need")))
-        .groupBy("source")
-        .agg(F.min("slice").alias("cut"), F.min_by("before", "slice").alias("cut_before"), F.min_by("need", "slice").alias("need"))
+        with_source(ranked.groupBy("source", "slice").agg(F.sum("size").alias("words")), targets, n)
+        .withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0)))
+        .withColumn("need", need)
+        .filter((F.col("before") < F.col("need")) & (F.col("before") + F.col("words") >= F.col("need")))
+        .select("source", "slice", "before", "need")
     )
     cut = checkpointed(cut)
-    placed = by_source(ranked, cut, n)
-    # without a cut the fractions of a source are no more than it needs (all of them are taken) or it needs none
-    at_cut = F.col("slice").eqNullSafe(F.col("cut"))
-    clear = placed.filter(~at_cut | F.col("slice").isNull()).withColumn("more", F.coalesce(F.col("slice") < F.col("cut"), F.lit(False)))
-    within = Window.partitionBy("source").orderBy("q", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    passed = F.col("cut_before") + F.coalesce(F.sum("size").over(within), F.lit(0))
-    edge = (
-        placed.filter(at_cut & F.col("slice").isNotNull())
-        .withColumn("passed", passed)
-        .withColumn("more", (F.col("passed") < F.col("need")) & (F.col("passed") + F.col("size") - F.col("need") <= F.col("need") - F.col("passed")))
-        .drop("passed")
+    # of the slice in which a source reaches its target, the rows in order; equal ones stay together
+    passed = Window.partitionBy("source").orderBy("q", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    last = (
+        with_source(ranked.drop("_mix"), cut, n)
+        .filter(F.col("slice") == F.col("_mix.slice"))
+        .groupBy("source", "q", "doc_id", "size", "_mix")
+        .agg(F.sum("size").alias("words"))
+        .withColumn("passed", F.col("_mix.before") + F.coalesce(F.sum("words").over(passed), F.lit(0)))
+        .filter((F.col("passed") < F.col("_mix.need")) & (F.col("passed") + F.col("words") - F.col("_mix.need") <= F.col("_mix.need") - F.col("passed")))
+        .groupBy("source")
+        .agg(F.max(F.struct("q", "doc_id", "size")).alias("last"))
+    )
+    found = with_source(with_source(targets, cut.select("source", "slice"), n).withColumnRenamed("_mix", "_cut"), last, n)
+    return checkpointed(found.select(*targets.columns, F.col("_cut.slice").alias("cut"), F.col("_mix.last").alias("last"))), n
+
+
+def copies(seed: str, size: str) -> Column:
+    """Copies of a row that has doc_id, a column with its size, and _mix of selection()."""
+    q = rank(seed)
+    # where no slice reaches the target, rounding left nothing to cut: all fractions are taken
+    more = q.isNotNull() & (
+        F.col("_mix.cut").isNull() | (slice_of(q) < F.col("_mix.cut")) | ((slice_of(q) == F.col("_mix.cut")) & F.coalesce(F.struct(q.alias("q"), "doc_id", F.col(size).alias("size")) <= F.col("_mix.last"), F.lit(False)))
     )
-    return clear.unionByName(edge).select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("more").cast("long")).alias("copies"))
+    return whole_copies() + F.coalesce(more, F.lit(False)).cast("long")
 
 
-def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The documents of the mix, each as many times as the mix takes it. A doc_id must be one document's."""
-    taken = mix(docs, **how).filter("copies > 0").select("doc_id", "copies")
-    return docs.join(taken, "doc_id").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).drop("copy")
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = SEED) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies (whole copies the mix takes) for every row of docs."""
+    sized = checkpointed(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
+    found, n = selection(sized, weights, share, most, seed)
+    return with_source(sized, found, n).select("doc_id", "source", "size", "_mix.source_size", "_mix.target", copies(seed, "size").alias("copies"))
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = SEED) -> DataFrame:
+    """The rows of docs, each as many times as the mix takes it. Texts are not shuffled."""
+    sized = checkpointed(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
+    found, n = selection(sized, weights, share, most, seed)
+    repeated = with_source(docs.withColumn("_mix_size", word_count(F.col("text"))), found, n).withColumn("_mix_copies", copies(seed, "_mix_size"))
+    return repeated.filter("_mix_copies > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_mix_copies"))).alias("_mix_copy")).drop("_mix_copy")
 
 
 ORACLE_SQL = r"""
@@ -152,11 +172,12 @@ WITH sized AS (
   SELECT *, CAST(floor(e) AS BIGINT) AS whole, e - floor(e) AS p,
     CASE WHEN e > floor(e) THEN (u / (1 - u)) / ((e - floor(e)) / (1 - (e - floor(e)))) END AS q FROM expected
 ), summed AS (
-  SELECT *, target - CAST(sum(whole * size) OVER (PARTITION BY source) AS DOUBLE) AS need,
-    CAST(coalesce(sum(size) OVER (PARTITION BY source ORDER BY q NULLS LAST, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) AS passed
+  SELECT *, target - whole * source_size AS need,
+    CAST(sum(size) OVER (PARTITION BY source ORDER BY q NULLS LAST, doc_id, size) AS DOUBLE) AS reached,
+    CAST(sum(size) OVER (PARTITION BY source, q, doc_id, size) AS DOUBLE) AS words
   FROM ranked
 )
 SELECT doc_id, size, source_size, target,
-  size * (whole + CASE WHEN q IS NOT NULL AND passed < need AND passed + size - need <= need - passed THEN 1 ELSE 0 END) AS taken
+  size * (whole + CASE WHEN q IS NOT NULL AND reached - words < need AND reached - need <= need - (reached - words) THEN 1 ELSE 0 END) AS taken
 FROM summed
 """
