@@ -1,23 +1,40 @@
-"""From raw documents to token ids: quality rules, line dedup, near-dedup, mixing, BPE."""
+"""From raw documents to token ids: quality rules, line dedup, near-dedup, mixing to weights, BPE."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from factloom.llm import mixing, quality_rules
+from factloom.llm import bpe, line_dedup, mixing, quality_rules, simhash
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules."""
+    """The documents that pass the quality rules."""
     return quality_rules.kept_documents(docs)
 
 
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without the lines that another one holds first; n_chars is the new length."""
+    return line_dedup.deduplicated_lines(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return simhash.deduplicated(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sources at their target weights, repeats as rows."""
+    """The sources at their target weights; a document that is taken twice is two rows."""
     return mixing.mixed_documents(docs)
 
 
-STAGES = [("quality rules", rules), ("mixing", mix)]
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source, lang, n_tokens and ids (little-endian unsigned 32-bit integers) of every row of the mix."""
+    found = bpe.encoded(docs.select("doc_id", "source", "lang", "text"))
+    return found.select("doc_id", "source", "lang", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [("quality rules", rules), ("line dedup", lines), ("SimHash near-dedup", near_copies), ("mixing", mix), ("BPE", tokens)]
 
 #: zstandard, SimHash components and BPE have no SQL form; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
