@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, mixing, quality, quality_rules, simhash, toxicity
+from . import bpe, line_dedup, media, mixing, quality, quality_rules, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.encoded(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digest(media.read_back(media.stored(table(spark, sf_dir, "documents"))))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digest(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_rules": op6_quality_rules,
     "op7_toxicity": op7_toxicity,
     "op8_bpe": op8_bpe,
+    "op9_media": op9_media,
     "op10_line_dedup": op10_line_dedup,
 }
 
