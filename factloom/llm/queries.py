@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, media, mixing, quality, quality_rules, simhash, toxicity
+from . import bpe, line_dedup, media, mixing, quality, quality_rules, secrets, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,11 @@ def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    findings, _ = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return secrets.digest(findings)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
@@ -54,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_simhash": op2_simhash,
     "op4_mix": op4_mix,
+    "op5_secrets": op5_secrets,
     "op6_quality_rules": op6_quality_rules,
     "op7_toxicity": op7_toxicity,
     "op8_bpe": op8_bpe,
@@ -63,5 +69,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op4_mix": mixing.ORACLE_SQL,
+    "op5_secrets": secrets.ORACLE_SQL,
     "op10_line_dedup": line_dedup.ORACLE_SQL,
 }
