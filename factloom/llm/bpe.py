@@ -31,10 +31,10 @@ from .text import SPACE
 WINDOW_BITS = 5  # the hash sees 2**5 bytes
 MASK_BITS = 10  # one cut in 2**10 bytes on average
 SHORTEST, LONGEST = 256, 8192
-CHUNKS = 20_000
-WORDS = 250_000
+CHUNKS = 8_000
+WORDS = 200_000
 #: Rows are given back to Spark when their ids have so many bytes.
-OUT_BYTES = 8 << 20
+OUT_BYTES = 4 << 20
 _GEAR = np.array([(0x9E3779B97F4A7C15 * (b + 1) ** 3 >> 16) & 0xFFFFFFFF for b in range(256)], np.uint32)
 _SPACE = frozenset(SPACE.encode())
 
