@@ -91,7 +91,7 @@ class Distances:
         self.known: dict[bytes, int] = {}
 
     def of(self, found: list[bytes]) -> list[int]:
-        new = set(found) - self.known.keys()
+        new = {w for w in found if w not in self.known}
         if len(self.known) + len(new) > MEMORY:
             self.known, new = {}, set(found)
         for w in new:
