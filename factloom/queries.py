@@ -95,6 +95,31 @@ def exist_fact(spark, d):
     return exists(T.geo(spark, d), Node("/nation", "5"), at("in_region"), Node("/region", "0")).agg(F.count("*").alias("found"))
 
 
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS o, epoch_us(o_orderdate) AS at FROM orders WHERE o_custkey = 13")
+def scan_po_temporal(spark, d):
+    found = lookup(T.sales(spark, d), obj=Node("/customer", "13")).filter("p_id = 'placed_by'")
+    return found.select(F.col("s_id").alias("o"), F.expr("p_ns div 1000").alias("at"))
+
+
+@query("SELECT event_type AS p, epoch_us(ts) AS at FROM events WHERE user_id = 17")
+def predicates_of_subject(spark, d):
+    found = predicates_of(T.events(spark, d).filter("p_id <> 'did'"), Node("/user", "17"))
+    return found.select(F.col("p_id").alias("p"), F.expr("p_ns div 1000").alias("at"))
+
+
+@query("SELECT 'placed_by' AS p, count(*) AS n FROM orders WHERE o_custkey = 13 HAVING count(*) > 0")
+def predicates_of_object(spark, d):
+    return predicates_of(T.sales(spark, d), obj=Node("/customer", "13")).groupBy(F.col("p_id").alias("p")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT CAST(event_id AS VARCHAR) AS s, event_type AS p FROM events WHERE ts <= TIMESTAMP '2024-01-10' QUALIFY ts = max(ts) OVER (PARTITION BY user_id, event_type)")
+def latest_within_bounds(spark, d):
+    from .model import nanoseconds
+
+    rows = T.events(spark, d).filter("on_type = '/event'").filter(F.col("p_ns") <= nanoseconds("2024-01-10T00:00:00Z"))
+    return latest(rows, "p", ("s",)).select(F.col("on_id").alias("s"), F.col("p_id").alias("p"))
+
+
 # joins --------------------------------------------------------------------------------------------------------------
 
 
@@ -230,6 +255,33 @@ def repeated_binding(spark, d):
     return match(T.geo(spark, d), [clause(n, at("in_region"), n)]).select(*ids("n"))
 
 
+@query("SELECT CAST(c_custkey AS VARCHAR) AS c FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)")
+def semi_join(spark, d):
+    facts = T.sales(spark, d)
+    rich = match(facts, [clause(o, Anchored("placed_by", t), c), clause(o, at("total"), v)]).filter(compare("v", ">", Literal("float64", 400000.0)))
+    wanted = rich.select(key("c").alias("wanted")).distinct()
+    found = match(facts, [clause(c, at("in_nation"), n)])
+    return found.join(wanted, key("c") == F.col("wanted"), "left_semi").select(*ids("c"))
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS c FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def optional_missing(spark, d):
+    found = match(T.sales(spark, d), [clause(c, at("in_nation"), n), optional(o, Anchored("placed_by", t), c)])
+    return found.filter("o is null").select(*ids("c"))
+
+
+@query("SELECT CAST(a.o_orderkey AS VARCHAR) AS a, CAST(b.o_orderkey AS VARCHAR) AS b FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderdate = b.o_orderdate AND a.o_orderkey < b.o_orderkey")
+def same_anchor_join(spark, d):
+    found = match(T.sales(spark, d), [clause(a, Anchored("placed_by", t), c), clause(b, Anchored("placed_by", t), c)])
+    return found.filter(id_of("a").cast("long") < id_of("b").cast("long")).select(*ids("a", "b"))
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS p, p_size AS v FROM part JOIN (SELECT DISTINCT p_partkey AS k FROM part WHERE p_brand = 'Brand#12') ON p_partkey = k")
+def intersection(spark, d):
+    found = match(T.supply(spark, d), [clause(p, at("brand"), Literal("text", "Brand#12")), clause(p, at("size"), s)])
+    return found.select(*ids("p"), int_of("s").cast("int").alias("v"))
+
+
 # filters and bounds -------------------------------------------------------------------------------------------------
 
 
@@ -383,6 +435,49 @@ def multi_graph_union(spark, d):
     return found.select(F.when(key("t") == "/customer", "?sales").otherwise("?supply").alias("g"), *ids("s", "n"))
 
 
+@query("SELECT CAST(c_custkey AS VARCHAR) AS c, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1 ORDER BY 3 DESC LIMIT 10")
+def group_order_limit(spark, d):
+    clauses = [clause(o, Anchored("placed_by", t), c), clause(o, at("total"), v)]
+    outs = [Out("c", "c"), Out("n", "o", "count"), Out("total", "v", "sum_float")]
+    found = select(T.sales(spark, d), clauses, outs, group_by=("c",), order_by=(F.col("total").desc(),), limit=10)
+    return found.select(*ids("c"), "n", F.round("total", 2).alias("total"))
+
+
+@query("SELECT lang, CAST(sum(n_chars) AS BIGINT) AS chars, count(*) AS n FROM documents GROUP BY 1")
+def aggregates_of_one_binding(spark, d):
+    clauses = [clause(a, at("lang"), b), clause(a, at("n_chars"), c)]
+    found = select(T.docs(spark, d), clauses, [Out("lang", "b"), Out("chars", "c", "sum_int"), Out("n", "c", "count")], group_by=("lang",))
+    return found.select(text_of("lang").alias("lang"), "chars", "n")
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS a FROM nation WHERE n_regionkey <> 2")
+def having_not(spark, d):
+    return select(T.geo(spark, d), [clause(a, at("in_region"), r)], [Out("a", "a")], having=~compare("r", "=", Node("/region", "2"))).select(*ids("a"))
+
+
+@query("SELECT 'n_nationkey ' || n_nationkey AS value FROM nation")
+def result_text(spark, d):
+    from .sources.text import to_text
+
+    found = match(T.geo(spark, d), [clause(Part(n, id=x), at("in_region"), r)])
+    return to_text(found.select(F.lit("n_nationkey").alias("label"), "x"), " ")
+
+
+@query("""SELECT '/nation<' || n_nationkey || '>	"in_region"@[]	/region<' || n_regionkey || '>' AS line FROM nation UNION ALL SELECT '/nation<' || n_nationkey || '>	"name"@[]	"' || n_name || '"^^type:text' FROM nation UNION ALL SELECT '/region<' || r_regionkey || '>	"name"@[]	"' || r_name || '"^^type:text' FROM region""")
+def export_lines(spark, d):
+    from .sources.text import fact_text
+
+    return T.geo(spark, d).select(fact_text().alias("line"))
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS s, p_size AS size FROM part")
+def import_lines(spark, d):
+    from .sources.text import fact_text, parsed
+
+    lines = T.supply(spark, d).filter("p_id = 'size'").select(fact_text().alias("value"))
+    return parsed(lines, "?again").select(F.col("s_id").alias("s"), F.col("ol_i").cast("int").alias("size"))
+
+
 # facts from bindings, and changes -----------------------------------------------------------------------------------
 
 

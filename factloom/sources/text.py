@@ -37,15 +37,16 @@ def _unquoted(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r'\\"', '"'), r"\\\\", r"\\")
 
 
-def parsed(lines: DataFrame, graph: str, column: str = "value", most_bytes: int | None = None) -> DataFrame:
-    """Facts of lines; blank lines and those that start with # are no facts, and any other line that isn't one is an error.
+def parsed(lines: DataFrame, graph: str | Column, column: str = "value", most_bytes: int | None = None) -> DataFrame:
+    """Facts of lines, in a graph or in that of a column; blank lines and those that start with # are no facts, and any other line that isn't one is an error.
 
     `most_bytes` bounds text and blob literals.
     """
     line = F.col(column)
     rows = lines.filter((F.trim(line) != "") & ~F.trim(line).startswith("#"))
     s, p_id, p_at, o = (_part(line, _LINE, k) for k in (1, 3, 4, 5))
-    rows = rows.select(line.alias("line"), s.alias("s0"), p_id.alias("p0"), F.trim(p_at).alias("t0"), o.alias("o0"))
+    of_graph = F.lit(graph) if isinstance(graph, str) else graph
+    rows = rows.select(of_graph.alias("graph"), line.alias("line"), s.alias("s0"), p_id.alias("p0"), F.trim(p_at).alias("t0"), o.alias("o0"))
 
     def kind(text: str) -> Column:
         return F.when(F.rlike(F.col(text), F.lit(rf"^{_BLANK}$")), F.lit("/_")).otherwise(_part(F.col(text), rf"^{_NODE}$", 1))
@@ -91,7 +92,7 @@ def parsed(lines: DataFrame, graph: str, column: str = "value", most_bytes: int
     key = F.when(is_node, node_key(F.col("on_type"), F.col("on_id"))).when(is_predicate, predicate_key(F.col("op_id"), F.col("op_ns")))
     for k, c in (("bool", "ol_b"), ("int64", "ol_i"), ("float64", "ol_f"), ("text", "ol_t"), ("blob", "ol_x")):
         key = key.when(F.col("ol_type") == k, literal_key(k, F.col(c)))
-    rows = rows.withColumns({"graph": F.lit(graph), "s": node_key(F.col("s_type"), F.col("s_id")), "p": predicate_key(F.col("p_id"), F.col("p_ns")), "o": key})
+    rows = rows.withColumns({"s": node_key(F.col("s_type"), F.col("s_id")), "p": predicate_key(F.col("p_id"), F.col("p_ns")), "o": key})
     empty = {c: F.when(F.col(c) != "", F.col(c)) for c in ("on_type", "on_id", "ol_type")}
     return rows.withColumns(empty).select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in FACTS.split(", ")])
 
@@ -100,6 +101,16 @@ def read_facts(spark: SparkSession, path: str, graph: str, most_bytes: int | Non
     return parsed(spark.read.text(path), graph, most_bytes=most_bytes)
 
 
+def read_stories(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Facts of the sources of story files, and their assertions (story, Requires, Statement, WillFail, MustReturn)."""
+    schema = "Name string, Sources array<struct<ID:string,Facts:array<string>>>, Assertions array<struct<Requires:string,Statement:string,WillFail:boolean,MustReturn:array<map<string,string>>>>"
+    # their strings hold bare line ends
+    stories = spark.read.schema(schema).option("multiLine", True).option("allowUnquotedControlChars", True).json(path)
+    lines = stories.select(F.explode("Sources").alias("x")).select(F.col("x.ID").alias("id"), F.explode("x.Facts").alias("value"))
+    asserted = stories.select(F.col("Name").alias("story"), F.explode("Assertions").alias("x")).select("story", "x.*")
+    return parsed(lines, F.col("id")), asserted
+
+
 def float_text(x: Column) -> Column:
     """A float without a fraction it doesn't have: 1, 2.5, 1e+21."""
     plain = F.regexp_replace(F.call_function("format_number", x, F.lit("0.################")), r"\.$", "")

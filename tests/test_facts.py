@@ -13,7 +13,7 @@ from factloom.operators.templates import Template, blank, construct, reify
 from factloom.plans.select import Out, select
 from factloom.sources.generators import random_graph, tree
 from factloom.sources.graphs import GraphError, Graphs
-from factloom.sources.text import fact_text, parsed, read_facts, to_json, to_text, write_facts
+from factloom.sources.text import fact_text, parsed, read_facts, read_stories, to_json, to_text, write_facts
 
 FAMILY = """
 # who is whose parent, and what was bought when
@@ -223,6 +223,17 @@ def test_graphs(spark, facts, tmp_path):
         g.read("?c")
 
 
+def test_stories(spark, tmp_path):
+    story = {"Name": "one", "Sources": [{"ID": "?a", "Facts": ['/u<a> "knows"@[] /u<b>', '/u<b> "knows"@[] /u<c>']}, {"ID": "?b", "Facts": ['/u<x> "knows"@[] /u<y>']}]}
+    story["Assertions"] = [{"Requires": "two hops", "Statement": "LINE1\nLINE2", "WillFail": False, "MustReturn": [{"?o": "/u<c>"}]}]
+    (tmp_path / "story.json").write_text(json.dumps(story).replace("\\n", "\n"))
+    found, asserted = read_stories(spark, str(tmp_path / "story.json"))
+    assert rows(found, "graph", "s_id") == [("?a", "a"), ("?a", "b"), ("?b", "x")]
+    want = asserted.first()
+    two = match(found.filter("graph = '?a'"), [clause(a, P("knows"), b), clause(b, P("knows"), o)])
+    assert [{"?o": r[0]} for r in two.select(key("o")).collect()] == want.MustReturn and want.Statement == "LINE1\nLINE2"
+
+
 def test_generators(spark):
     found = tree(spark, 14, 2)
     assert found.count() == 14 and rows(found.groupBy("s").count(), "count") == [(2,)] * 7
