@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..model import time_text
 from ..operators.patterns import Clause, Filter, match
 
 
@@ -39,6 +40,15 @@ def _typed(name: str, kind: str, part: str) -> Column:
     return F.when(F.col(f"{name}.kind").isNull() | (F.col(f"{name}.type") == kind), F.col(f"{name}.{part}")).otherwise(wrong.cast("bigint" if part == "i" else "double"))
 
 
+def _group(rows: DataFrame, name: str) -> Column:
+    """A binding as a group: times as their UTC text, so that one instant is one group. It is hashed whole, without sorting."""
+    parts = rows.schema[name].dataType.names
+    if "ns" not in parts:
+        return F.col(name)
+    txt = F.when(F.col(f"{name}.ns").isNotNull(), time_text(F.col(f"{name}.ns"))).otherwise(F.col(f"{name}.txt"))
+    return F.when(F.col(name).isNotNull(), F.struct(*[(txt if p == "txt" else F.col(f"{name}.{p}")).alias(p) for p in parts]))
+
+
 def select(
     facts: DataFrame,
     clauses: list[Clause],
@@ -64,9 +74,8 @@ def select(
         plain = {o.name: o.of for o in outs if not o.how}
         if set(group_by) != set(plain):
             raise ValueError("outputs are groups or aggregates")
-        keys = [F.col(f"{plain[g]}.key").alias(f"_key_{g}") for g in group_by]
-        values = [F.first(plain[g]).alias(g) for g in group_by]
-        rows = rows.groupBy(*keys).agg(*values, *[o.column for o in aggregates])
+        keys = [_group(rows, plain[g]).alias(g) for g in group_by]
+        rows = rows.groupBy(*keys).agg(*[o.column for o in aggregates]) if aggregates else rows.select(*keys).distinct()
     elif aggregates:
         raise ValueError("aggregates need groups")
     if having is not None:
