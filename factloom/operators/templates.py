@@ -108,7 +108,8 @@ def construct(rows: DataFrame, templates: list[Template], graphs: tuple[str, ...
         on = {"s_type": F.lit(BLANK), "s_id": name, "s": node_key(F.lit(BLANK), name)}
         made += _about(base, name) + [(on, p, o) for p, o in pairs]
     structs = [_struct(F.lit(g), *m) for g in graphs for m in made]
-    return rows.select(F.explode(F.array(*structs)).alias("fact")).select("fact.*").dropDuplicates(["graph", "s", "p", "o"])
+    # equal rows are hashed away; facts that differ in how a time is written become one where they are stored
+    return rows.select(F.explode(F.array(*structs)).alias("fact")).select("fact.*").distinct()
 
 
 def reify(facts: DataFrame) -> DataFrame:
