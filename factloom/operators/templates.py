@@ -104,7 +104,9 @@ def construct(rows: DataFrame, templates: list[Template], graphs: tuple[str, ...
             continue
         pairs = [(_predicate(p), _object(o, rows)) for p, o in t.more]
         keys = [base[0]["s"], base[1]["p"], base[2]["o"], *(x for p, o in pairs for x in (p["p"], o["o"]))]
-        name = F.sha1(F.concat_ws("\x1f", F.lit(str(nth)), *keys).cast("binary"))
+        # a column of its own, so that it is computed once a row and not in each fact that holds it
+        rows = rows.withColumn(f"_blank{nth}", F.sha1(F.concat_ws("\x1f", F.lit(str(nth)), *keys).cast("binary")))
+        name = F.col(f"_blank{nth}")
         on = {"s_type": F.lit(BLANK), "s_id": name, "s": node_key(F.lit(BLANK), name)}
         made += _about(base, name) + [(on, p, o) for p, o in pairs]
     structs = [_struct(F.lit(g), *m) for g in graphs for m in made]
