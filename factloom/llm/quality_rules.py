@@ -30,14 +30,17 @@ SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_line
 
 @dataclass(frozen=True)
 class Bands:
-    """Limits by length in bytes: (from this length, lowest ratio, highest ratio)."""
+    """Limits by length in bytes: (from this length, lowest ratio, highest ratio).
+
+    The lowest are set by natural texts and program code, of which hardly any falls below them; see the README for the rates.
+    """
 
     level: int = 3
     chunk: int = 4096
     #: share of the chunks that may be out of their band
     chunks_out: float = 0.34
     limits: tuple[tuple[int, float, float], ...] = field(
-        default=((0, 0.0, 9.0), (200, 0.46, 0.85), (500, 0.45, 0.78), (1000, 0.43, 0.7), (2000, 0.415, 0.65), (4000, 0.39, 0.6), (16000, 0.37, 0.56), (64000, 0.3, 0.55))
+        default=((0, 0.0, 9.0), (200, 0.25, 0.85), (500, 0.18, 0.78), (1000, 0.14, 0.7), (2000, 0.12, 0.65), (4000, 0.1, 0.6), (16000, 0.08, 0.56), (64000, 0.06, 0.55))
     )
 
     def out(self, n: int, ratio: float) -> bool:

@@ -1,5 +1,10 @@
+import os
+import pydoc_data.topics
 import random
 import re
+from pathlib import Path
+
+import zstandard
 
 from factloom.llm import quality_rules as Q
 
@@ -43,3 +48,26 @@ def test_judge(spark):
     kept = Q.kept_documents(df)
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [1, 1, 7]
     assert Q.judge(df.limit(0)).collect() == []
+
+
+def passes(raw):
+    zstd = zstandard.ZstdCompressor(level=Q.Bands().level, write_content_size=False, write_checksum=False)
+    return Q.compression(raw, Q.Bands(), zstd)[2]
+
+
+def test_natural_texts_and_code_pass_in_every_band():
+    rng = random.Random(3)
+    topics = [t.encode() for t in pydoc_data.topics.topics.values() if len(t.split()) >= 50]
+    code = [p.read_bytes() for p in sorted(Path(os.__file__).parent.glob("*.py"))]
+    for texts, most in ((topics, 0.03), (code, 0.03)):
+        assert sum(not passes(t) for t in texts if len(t) >= 200) <= most * len(texts)
+        edges = [x[0] for x in Q.Bands().limits][1:]
+        for low, high in zip(edges, edges[1:]):
+            parts = [t[(at := rng.randrange(len(t) - low)) : at + rng.randrange(low, high)] for t in texts if len(t) > low]
+            assert sum(not passes(t) for t in parts) <= max(1, 2 * most * len(parts))
+
+
+def test_repeated_text_fails_in_every_band():
+    for n in (200, 499, 500, 999, 1000, 1999, 2000, 4000, 8192, 16000, 64000, 300_000):
+        for line in (b"all work and no play\n", b"buy now ", b"x"):
+            assert not passes((line * n)[:n])
