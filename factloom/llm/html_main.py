@@ -1,6 +1,7 @@
 """Main text of web pages by a linear-chain conditional random field over the leaf blocks of the DOM.
 
-A page is read into its leaf blocks: runs of text between the starts and ends of block elements. Each has features of the
+A page is read into its leaf blocks: runs of text between the starts and ends of block elements. Scripts, drawings, formulas,
+controls and unknown elements inside a run don't cut it, whether their content is shown or not. Each block has features of the
 elements around it (tags, words of class, id and role) and of its text (length, links, punctuation, neighbours).
 The field scores each block's features and each pair of labels in a row; Viterbi picks the best labels of a page, and the
 blocks labelled as main text are joined.
@@ -30,8 +31,14 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements whose content is no markup.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 #: Elements that are never shown as text.
-HIDDEN = frozenset("script style template head title svg math iframe object noembed noframes".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label map mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input".split())
+HIDDEN = frozenset("script style template head title svg iframe object noembed noframes".split())
+#: Elements that begin and end a block, and whose start ends a paragraph. All others, unknown ones too, are part of the text around them.
+BLOCK = frozenset(
+    "html head body frameset address article aside blockquote center details dialog dir div dl dt dd fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li listing "
+    "main menu nav ol p plaintext pre search section summary table caption colgroup col tbody thead tfoot tr td th ul xmp".split()
+)
+#: Elements that a start inside them does not end a paragraph beyond.
+SCOPE = frozenset("button td th table caption body object template svg foreignobject desc mi mo mn ms mtext annotation-xml".split())
 #: What the start of an element ends, up to the element that holds it.
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -74,19 +81,27 @@ def blocks(page: str | None) -> list[Block]:
     page, out, stack = page or "", [], []
     parts: list[str] = []
     linked = 0
+    hidden: int | None = None  # place of the outermost hidden element; what is in it neither adds text nor ends a block
 
     def flush() -> None:
         nonlocal linked
+        if hidden is not None:
+            return
         text = " ".join("".join(parts).split())
         parts.clear()
-        if text and not any(e.tag in HIDDEN for e in stack):
+        if text:
             names = frozenset(n for e in stack for n in e.names)
             label = next((e.main for e in reversed(stack) if e.main is not None), False)
-            out.append(Block(text, tuple(e.tag for e in stack if e.tag not in INLINE or e.tag == "a"), names, min(linked, len(text)), label))
+            out.append(Block(text, tuple(e.tag for e in stack if e.tag in BLOCK or e.tag == "a"), names, min(linked, len(text)), label))
         linked = 0
 
     def close(at: int) -> None:
-        if any(e.tag not in INLINE for e in stack[at:]):
+        nonlocal hidden
+        ends_block = any(e.tag in BLOCK for e in stack[at:hidden])
+        if hidden is not None and at <= hidden:
+            del stack[hidden:]
+            hidden = None
+        if ends_block:
             flush()
         del stack[at:]
 
@@ -97,40 +112,43 @@ def blocks(page: str | None) -> list[Block]:
         tag = m[2]
         if tag is None:
             token = m[0]
-            if token[0] != "<" or token == "<":
+            if hidden is None and (token[0] != "<" or token == "<"):
                 parts.append(html.unescape(token))
                 if any(e.tag == "a" for e in stack):
                     linked += len(parts[-1].strip())
             continue
         tag = tag.lower()
         if m[1]:
-            found = next((k for k in range(len(stack) - 1, -1, -1) if stack[k].tag == tag), None)
-            if found is not None:
+            found = next((k for k in range(len(stack) - 1, -1, -1) if stack[k].tag in (tag, "template")), None)
+            if found is not None and stack[found].tag == tag:
                 close(found)
-            elif tag not in INLINE:
+            elif tag in BLOCK:
                 flush()
             continue
-        if tag not in INLINE:
+        if tag in BLOCK:
+            # a block is no part of a drawing: it ends one that was left open
+            if hidden is not None and stack[hidden].tag == "svg" and not any(e.tag in ("foreignobject", "desc") for e in stack[hidden:]):
+                close(hidden)
             flush()
             # a paragraph ends where a block starts, unless the block is in an element inside it
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k].tag == "p":
                     close(k)
-                if stack[k : k + 1] and stack[k].tag in ("button", "td", "th", "table", "body"):
+                if stack[k : k + 1] and stack[k].tag in SCOPE:
                     break
-            if tag in ENDS:
-                same, holds = ENDS[tag]
-                first = None
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k].tag in holds:
-                        break
-                    if stack[k].tag in same:
-                        first = k
-                if first is not None:
-                    close(first)
-        elif tag == "br":
+        elif tag in ("br", "option", "optgroup") and hidden is None:
             parts.append(" ")
-        if tag in VOID or m[3].endswith("/") and tag not in RAW and tag in HIDDEN:
+        if tag in ENDS:
+            same, holds = ENDS[tag]
+            first = None
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k].tag in same:
+                    first = k
+                elif stack[k].tag in holds or stack[k].tag in HIDDEN:
+                    break
+            if first is not None:
+                close(first)
+        if tag in VOID or m[3].endswith("/") and tag not in RAW and (hidden is not None or tag in HIDDEN or tag == "math" or any(e.tag == "math" for e in stack)):
             continue
         element = _Element(tag)
         if "=" in m[3]:
@@ -141,12 +159,17 @@ def blocks(page: str | None) -> list[Block]:
                 else:
                     element.names |= frozenset(_WORD.findall(value))
         stack.append(element)
+        if hidden is None and tag in HIDDEN:
+            hidden = len(stack) - 1
         if tag in RAW:
             end = _END[tag].search(page, at)
-            if tag == "textarea":
-                parts.append(html.unescape(page[at : end.start() if end else n]))
+            if hidden is None and tag in ("textarea", "xmp"):
+                typed = page[at : end.start() if end else n]
+                parts.append(html.unescape(typed) if tag == "textarea" else typed)
             at = end.end() if end else n
             close(len(stack) - 1)
+    if hidden is not None:
+        close(hidden)
     flush()
     return out
 
@@ -299,8 +322,23 @@ class Composer:
             text = f"<{(t := self.rng.choice(['b', 'i', 'em', 'strong', 'span']))}>{text}" + (f"</{t}>" if self.rng.random() < 0.7 else "<br>")
         if self.rng.random() < 0.2:
             text += " " + self.link(self.short()) + " " + self.sentence()
+        if self.rng.random() < 0.2:
+            text += " " + self.inside() + self.rng.choice([" ", " " + self.sentence()])
         return self.element("p", text)
 
+    def formula(self) -> str:
+        parts = [self.rng.choice(["<mi>x</mi>", "<mn>2</mn>", "<msup><mi>y</mi><mn>3</mn></msup>", "<mfrac><mn>1</mn><mi>z</mi></mfrac>", "<mspace/>"]) for _ in range(self.rng.randint(1, 9))]
+        return f"<mrow>{'<mo>+</mo>'.join(parts)}</mrow>"
+
+    def inside(self) -> str:
+        """An element that stands within a paragraph without cutting it."""
+        kinds = [
+            '<script>var b="<p>";</script>', "<style>b{}</style>", f'<svg viewBox="0 0 9 9"><title>{self.short()}</title><path d="M0 0"/><text>{self.short()}</text></svg>', f"<template><p>{self.short()}</p></template>",
+            f"<math>{self.formula()}</math>", f"<math>{self.formula()}</math>", f"<button>{self.short()}</button>", f"<select><option>{self.short()}<option>{self.short()}</select>", '<picture><source srcset="a"><img src="b"></picture>',
+            f"<noscript>{self.short()}</noscript>", "<canvas></canvas>", "<audio src=a></audio>", '<video src="c"></video>', f"<x-note>{self.short()}</x-note>",
+        ]
+        return self.rng.choice(kinds)
+
     def body(self) -> str:
         r = self.rng
         parts = [self.element(r.choice(["h1", "h1", "h2", "h1 class=title"]), self.prose(1)[: r.randint(20, 70)])] if r.random() < 0.9 else []
@@ -314,8 +352,10 @@ class Composer:
                 parts.append(self.element(r.choice(["ul", "ol"]), "".join(self.element("li", self.sentence(2, 12)) for _ in range(r.randint(2, 5)))))
             elif kind < 0.92:
                 parts.append(self.element("blockquote", self.paragraph()))
-            elif kind < 0.94:
+            elif kind < 0.93:
                 parts.append(self.element("pre", self.prose(2)))
+            elif kind < 0.94:
+                parts.append(self.rng.choice(['<math display="block">', "<p><math>"]) + self.formula() + "</math>")
             elif kind < 0.96:
                 parts.append(self.element("table", "".join(f"<tr><td>{self.short()}<td>{self.sentence(2, 6)}</tr>" for _ in range(3))))
             else:

@@ -84,3 +84,47 @@ def test_extraction(spark, crf):
     assert len(got) == 5 and [(r.text, r.n_chars) for r in got if r.page_id == 1] == [(want, len(want))] * 2
     assert [(r.url, r.text, r.n_chars) for r in got if r.page_id in (2, 3)] == [(None, "", 0), ("", "", 0)]
     assert H.extracted(df.limit(0), crf).collect() == []
+
+
+@pytest.mark.parametrize(
+    "inside, shown",
+    [
+        ('<script>var a="</p><p>no";</script>', ""),
+        ("<style>p{}</style>", ""),
+        ('<svg viewBox="0 0 1 1"><title>no</title><path d="M0"/><text>no</text></svg>', ""),
+        ("<svg/>", ""),
+        ("<template><p>no<p>no</p><ul><li>no<li>no</ul></template>", ""),
+        ("<template></p></div>no</template>", ""),
+        ("<object><p>no</p></object>", ""),
+        ("<iframe src=x></iframe>", ""),
+        ("<math><mi>x</mi><mo>=</mo><mspace/><msup><mn>2</mn><mi>y</mi></msup></math>", "x=2y"),
+        ("<button>press</button>", "press"),
+        ("<select><option>a<option>b</select>", "a b"),
+        ("<picture><source srcset=a><img src=b></picture>", ""),
+        ("<noscript>off</noscript>", "off"),
+        ("<canvas>flat</canvas>", "flat"),
+        ("<audio>hear</audio>", "hear"),
+        ("<video>see</video>", "see"),
+        ("<x-note>own</x-note>", "own"),
+    ],
+)
+def test_phrasing_does_not_cut_a_paragraph(inside, shown):
+    got = H.blocks(f"<div><p>one {inside} two</p><p>three</p></div>")
+    assert [b.text for b in got] == [" ".join(f"one {shown} two".split()), "three"]
+    assert [b.tags for b in got] == [("div", "p")] * 2
+
+
+def test_drawing_left_open_and_verbatim_text():
+    assert texts("<p>one <svg><path> no<p>two</p>") == ["one", "two"]
+    assert texts("one <template><p>no") == texts("<p>one <template><p>no") == texts("<p>one <object>no</p>") == ["one"]
+    assert texts("<xmp>a <b> &amp;</xmp>c") == ["a <b> &amp;", "c"]
+
+
+def test_formulas_and_scripts_inside_an_article(crf):
+    story = "It goes on for a while, with commas, and comes to its end here."
+    formula = "<math><mi>E</mi><mo>=</mo><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup></math>"
+    body = f'<h1>A headline of the story</h1><p>{story}</p><p>{story} <script>ad("<p>");</script> {story}</p><p>Here {formula} is met. {story}</p>'
+    body += f'{formula.replace("<math>", "<math display=block>")}<p>{story} <svg><path d="M0"/></svg> {story}</p><p>{story} <button>Play</button> {story}</p>'
+    page = f'<html><head><title>t</title></head><body><nav><ul><li><a href="/a">menu</a></li><li><a href="/b">more</a></li></ul></nav><article>{body}</article><footer>&copy; host</footer></body></html>'
+    want = ["A headline of the story", story, f"{story} {story}", f"Here E=mc2 is met. {story}", "E=mc2", f"{story} {story}", f"{story} Play {story}"]
+    assert H.main_text(page, crf).split("\n\n") == want
