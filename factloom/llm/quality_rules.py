@@ -1,6 +1,6 @@
 """Quality rules: counts of words, symbols and repeats, then compression bands.
 
-The bands: a text's zstandard ratio (compressed bytes / bytes) as a whole and in fixed chunks. Text of
+The bands: a text's zstandard ratio (compressed bytes / bytes) as a whole and, from twice a chunk's size on, in chunks of equal size. Text of
 natural variety has a ratio between limits that depend on its length, since short texts compress less.
 Below them a text repeats itself, above them it has no structure. A document is rejected if its
 whole ratio is out of the band of its length, or if over a share of its chunks are.
@@ -36,7 +36,8 @@ class Bands:
     """
 
     level: int = 3
-    chunk: int = 4096
+    #: least bytes of a chunk; texts of twice as many or more are cut into chunks of equal size
+    chunk: int = 1024
     #: share of the chunks that may be out of their band
     chunks_out: float = 0.34
     limits: tuple[tuple[int, float, float], ...] = field(
@@ -91,14 +92,13 @@ def compression(raw: bytes, bands: Bands, zstd: zstandard.ZstdCompressor) -> tup
     if not raw:
         return 0.0, 0.0, False
     ratio = len(zstd.compress(raw)) / len(raw)
-    # the last chunk takes the rest, so that no chunk is shorter than the rest of them
-    cuts = range(0, max(1, len(raw) // bands.chunk) * bands.chunk, bands.chunk)
+    chunks = max(1, len(raw) // bands.chunk)
     out = 0
-    if len(cuts) > 1:
-        for at in cuts:
-            part = raw[at:] if at == cuts[-1] else raw[at : at + bands.chunk]
+    if chunks > 1:
+        for k in range(chunks):
+            part = raw[k * len(raw) // chunks : (k + 1) * len(raw) // chunks]
             out += bands.out(len(part), len(zstd.compress(part)) / len(part))
-    return ratio, out / len(cuts), not bands.out(len(raw), ratio) and out <= bands.chunks_out * len(cuts)
+    return ratio, out / chunks, not bands.out(len(raw), ratio) and out <= bands.chunks_out * chunks
 
 
 def judge(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:

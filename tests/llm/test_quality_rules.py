@@ -1,3 +1,4 @@
+import base64
 import os
 import pydoc_data.topics
 import random
@@ -71,3 +72,12 @@ def test_repeated_text_fails_in_every_band():
     for n in (200, 499, 500, 999, 1000, 1999, 2000, 4000, 8192, 16000, 64000, 300_000):
         for line in (b"all work and no play\n", b"buy now ", b"x"):
             assert not passes((line * n)[:n])
+
+
+def test_chunks_judge_common_documents():
+    rng = random.Random(6)
+    for n in (1024, 1500, 2048, 3833, 8000):
+        noise, line = base64.b64encode(rng.randbytes(n))[:n], (b"all work and no play\n" * n)[:n]
+        zstd = zstandard.ZstdCompressor(level=Q.Bands().level, write_content_size=False, write_checksum=False)
+        ratio, bad, ok = Q.compression(noise + line, Q.Bands(), zstd)
+        assert not Q.Bands().out(2 * n, ratio) and bad > 0.34 and not ok
