@@ -1,14 +1,16 @@
 """BPE encoding and decoding with reuse of content-defined chunks.
 
 A rolling hash over a text's bytes cuts it where its last WINDOW bytes say so, so that passages which documents share
-fall into the same chunks wherever they stand. A chunk is encoded when a Python worker first meets it and looked up
-after that. Cuts may fall inside a word: a join is repaired by encoding the word across it again, from the
+fall into the same chunks wherever they stand. A chunk is encoded when a task first meets it and looked up
+after that, as long as the task remembers it. Cuts may fall inside a word: a join is repaired by encoding the word across it again, from the
 white space before to the white space after, where the chunks' own tokens agree with those of the whole text. That
 rests on what the tokenizer file states: its pieces never hold white space, so what stands between two of the
-six ASCII white space characters is encoded alike wherever it stands. Words not met before in a worker are encoded by
-the tokenizers library, which has the last say on every piece.
+six ASCII white space characters is encoded alike wherever it stands. Words not met before in a task are encoded by
+the tokenizers library, which has the last say on every piece. A chunk without white space is part of a word, and words of more
+than LONG_WORD bytes are encoded each time.
 
-Both memories are bounded (CHUNKS, twice WORDS) and are started anew when full, which changes no result. No text is
+Both memories are bounded in entries and in bytes, and of a full one the half that goes on being met stays, which changes no result.
+Decoding reads the ids alone, by a table of the vocabulary or by the decoder of the tokenizer file. No text is
 shuffled: to encode each chunk once in the whole cluster, all chunks and all ids would cross the network.
 
 Defined results: null and empty texts have no ids and decode to the empty text; rows that repeat are encoded alike;
@@ -18,21 +20,26 @@ an empty table gives an empty one; other columns stay as they are where document
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .text import SPACE
 
 WINDOW_BITS = 5  # the hash sees 2**5 bytes
 MASK_BITS = 10  # one cut in 2**10 bytes on average
 SHORTEST, LONGEST = 256, 8192
+#: Bounds of the memories: chunks in all, words in each of two halves, bytes in each half, and bytes counted for an entry besides its own.
 CHUNKS = 8_000
 WORDS = 200_000
+MEMORY_BYTES = 48 << 20
+ENTRY_BYTES = 170
+LONG_WORD = 256
 #: Rows are given back to Spark when their ids have so many bytes.
 OUT_BYTES = 4 << 20
 _GEAR = np.array([(0x9E3779B97F4A7C15 * (b + 1) ** 3 >> 16) & 0xFFFFFFFF for b in range(256)], np.uint32)
@@ -85,114 +92,141 @@ class ChunkedBPE:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        if self.tokenizer.decoder is not None:
-            raise ValueError("the tokenizer has a decoder; chunks' decoded texts can't be joined by blanks")
-        self.words: dict[bytes, tuple[bytes, str]] = {}
-        self.old: dict[bytes, tuple[bytes, str]] = {}
+        self.names: list[str | None] | None = None
+        self.words: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.word_bytes = 0
         self.chunks: dict[bytes, tuple] = {}
+        self.old_chunks: dict[bytes, tuple] = {}
+        self.chunk_bytes = 0
+
+    def _keep(self, word: bytes, ids: bytes) -> None:
+        self.words[word] = ids
+        self.word_bytes += len(word) + len(ids) + ENTRY_BYTES
 
-    def _learn(self, words: list[bytes]) -> None:
-        """Makes all words known. Of a full memory, the words that go on being met move to the new one."""
+    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Makes all words known, and returns the ids of the long ones. Of a full memory, the words that go on being met move to the new one."""
         new = {w for w in words if w not in self.words}
         if not new:
-            return
-        if len(self.words) > WORDS:
-            self.old, self.words = self.words, {}
+            return {}
+        if len(self.words) > WORDS or self.word_bytes > MEMORY_BYTES:
+            self.old, self.words, self.word_bytes = self.words, {}, 0
             new = set(words)
         for w in new & self.old.keys():
-            self.words[w] = self.old[w]
+            self._keep(w, self.old[w])
         new = [w for w in new if w not in self.words]
         if not new:
-            return
+            return {}
         whole = self.tokenizer.encode([w.decode("utf-8", "surrogatepass") for w in new], is_pretokenized=True, add_special_tokens=False)
-        ids, tokens = np.array(whole.ids, "<u4").tobytes(), whole.tokens
+        ids, long = np.array(whole.ids, "<u4").tobytes(), {}
         starts = np.searchsorted(np.array(whole.word_ids, np.int64), np.arange(len(new) + 1)).tolist()
         for w, s, e in zip(new, starts, starts[1:], strict=False):
-            # without a decoder, the tokenizer decodes to its tokens with blanks between them
-            self.words[w] = (ids[4 * s : 4 * e], " ".join(tokens[s:e]))
+            if len(w) > LONG_WORD:
+                long[w] = ids[4 * s : 4 * e]
+            else:
+                self._keep(w, ids[4 * s : 4 * e])
+        return long
 
-    def _join(self, words: list[bytes]) -> tuple[bytes, list[str]]:
-        """Ids and decoded pieces of whole words, all of them known."""
-        found = [self.words[w] for w in words]
-        return b"".join([x[0] for x in found]), [x[1] for x in found if x[0]]
+    def _join(self, words: list[bytes]) -> bytes:
+        """Ids of whole words in a row."""
+        long, known = self._learn(words), self.words
+        return b"".join([long[w] if w in long else known[w] for w in words] if long else [known[w] for w in words])
 
     def _chunk(self, chunk: bytes) -> tuple:
-        """head, ids, pieces, tail: the words that the chunk's ends may cut, and what lies between them.
+        """head, ids, tail: the words that the chunk's ends may cut, and what lies between them.
 
         A chunk without white space is all head, and its tail is None.
         """
         words = chunk.split()
         head = words.pop(0) if chunk[0] not in _SPACE else b""
         if head and not words and chunk[-1] not in _SPACE:
-            return head, b"", "", None
+            return head, b"", None
         tail = words.pop() if words and chunk[-1] not in _SPACE else b""
-        self._learn(words)
-        ids, pieces = self._join(words)
-        return head, ids, " ".join(pieces), tail
-
-    def encode(self, text: str | None) -> tuple[bytes, str]:
-        """The ids of a text as little-endian unsigned 32-bit integers, and what they decode to."""
+        return head, self._join(words), tail
+
+    def _remembered(self, chunk: bytes) -> tuple:
+        """What _chunk() gives, from memory where it is there."""
+        key = xxhash.xxh3_128_digest(chunk)
+        if (found := self.chunks.get(key)) is None:
+            found = self.old_chunks.get(key) or self._chunk(chunk)
+            if found[2] is None:
+                return found
+            if len(self.chunks) >= CHUNKS // 2 or self.chunk_bytes > MEMORY_BYTES:
+                self.old_chunks, self.chunks, self.chunk_bytes = self.chunks, {}, 0
+            self.chunks[key] = found
+            self.chunk_bytes += sum(map(len, found)) + 2 * ENTRY_BYTES
+        return found
+
+    def ids(self, text: str | None) -> bytes:
+        """The ids of a text as little-endian unsigned 32-bit integers."""
         data = (text or "").encode("utf-8", "surrogatepass")
-        ids, pieces, open_word, start = [], [], b"", 0
-
-        def close(word: bytes) -> None:
-            if word:
-                self._learn([word])
-                one = self.words[word]
-                ids.append(one[0])
-                if one[0]:
-                    pieces.append(one[1])
-
+        ids, open_word, start = [], [], 0
         for end in cuts(data):
-            chunk, start = data[start:end], end
-            key = xxhash.xxh3_128_digest(chunk)
-            if (found := self.chunks.get(key)) is None:
-                if len(self.chunks) >= CHUNKS:
-                    self.chunks = {}
-                found = self.chunks[key] = self._chunk(chunk)
-            head, body, decoded, tail = found
+            head, body, tail = self._remembered(data[start:end])
+            start = end
             # the join: the word that the chunks before left open goes on with this one's head
-            open_word += head
+            open_word.append(head)
             if tail is None:
                 continue
-            close(open_word)
+            if word := b"".join(open_word):
+                ids.append(self._join([word]))
             ids.append(body)
-            if body:
-                pieces.append(decoded)
-            open_word = tail
-        close(open_word)
-        return b"".join(ids), " ".join(pieces)
+            open_word = [tail]
+        if word := b"".join(open_word):
+            ids.append(self._join([word]))
+        return b"".join(ids)
 
-    def decode(self, ids: bytes) -> str:
-        """The text of ids in the form that encode() returns."""
-        return self.tokenizer.decode(np.frombuffer(ids, "<u4").tolist(), skip_special_tokens=False)
+    def encode(self, text: str | None) -> tuple[bytes, str]:
+        """The ids of a text as little-endian unsigned 32-bit integers, and what they decode to."""
+        ids = self.ids(text)
+        return ids, self.decode(ids)
+
+    def decode(self, ids: bytes | None) -> str:
+        """The text of ids, as the tokenizer file has it."""
+        numbers = np.frombuffer(ids or b"", "<u4").tolist()
+        if self.tokenizer.decoder is not None:
+            return self.tokenizer.decode(numbers, skip_special_tokens=False)
+        if self.names is None:
+            by_id = {n: t for t, n in self.tokenizer.get_vocab(with_added_tokens=True).items()}
+            self.names = [by_id.get(n) for n in range(max(by_id, default=-1) + 1)]
+        # without a decoder, the tokenizer decodes to its tokens with blanks between them; an id that is none is an error
+        return " ".join(map(self.names.__getitem__, numbers))
 
 
 def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """The rows of docs without text, with ids (binary, little-endian unsigned 32-bit) and decoded (string)."""
+    """The rows of docs without text, with ids (binary, little-endian unsigned 32-bit)."""
     names = [c for c in docs.columns if c not in ("text", "ids", "decoded")]
-    schema = docs.select(*names).schema.add("ids", "binary").add("decoded", "string")
+    schema = docs.select(*names).schema.add("ids", "binary")
+    return _mapped(docs.select(*names, "text"), schema, path, ChunkedBPE.ids, pa.binary())
+
+
+def decoded(found: DataFrame, path: str | None = None) -> DataFrame:
+    """The rows of encoded() with decoded (string), made of their ids alone."""
+    names = [c for c in found.columns if c not in ("ids", "decoded")] + ["ids"]
+    return _mapped(found.select(*names, F.col("ids").alias("_ids")), found.select(*names).schema.add("decoded", "string"), path, ChunkedBPE.decode, pa.string())
+
+
+def _mapped(rows: DataFrame, schema: StructType, path: str | None, f: Callable, kind: pa.DataType) -> DataFrame:
+    """The rows with f of their last column in its place."""
     place = path or vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ChunkedBPE(place)
         for batch in batches:
-            text = batch.column(len(names)).to_pylist()
-            ids, decoded, size, first = [], [], 0, 0
-            for k, t in enumerate(text):
-                one = bpe.encode(t)
-                ids.append(one[0])
-                decoded.append(one[1])
-                size += len(one[0])
-                if size > OUT_BYTES or k + 1 == len(text):
-                    rows = batch.select(names).slice(first, k + 1 - first)
-                    yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], names=[*names, "ids", "decoded"])
-                    ids, decoded, size, first = [], [], 0, k + 1
+            made, size, first = [], 0, 0
+            for k, x in enumerate(batch.columns[-1]):
+                made.append(f(bpe, x.as_py()))
+                size += len(made[-1])
+                if size > OUT_BYTES or k + 1 == batch.num_rows:
+                    others = [c.slice(first, k + 1 - first) for c in batch.columns[:-1]]
+                    yield pa.RecordBatch.from_arrays([*others, pa.array(made, kind)], names=schema.names)
+                    made, size, first = [], 0, k + 1
 
-    return docs.select(*names, "text").mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of encoded rows."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of encoded rows, which are decoded if they are not yet."""
+    found = found if "decoded" in found.columns else decoded(found)
     n = (F.octet_length("ids") / 4).cast("long")
     return found.select("doc_id", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

@@ -69,3 +69,24 @@ def test_documents(spark, library, monkeypatch):
         want.add((i, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
     assert got == want
     assert B.encoded(df.limit(0)).collect() == []
+
+
+def test_chunks_that_go_on_being_met_stay(monkeypatch):
+    monkeypatch.setattr(B, "CHUNKS", 8)
+    ours, seen = B.ChunkedBPE(B.vocabulary()), []
+    chunk = ours._chunk
+    ours._chunk = lambda c: (seen.append(c), chunk(c))[1]
+    for k in range(40):
+        ours.encode("met again and again")
+        ours.encode(f"met once, {k}")
+    assert seen.count(b"met again and again") == 1
+
+
+def test_memories_are_bounded_in_bytes(library, monkeypatch):
+    monkeypatch.setattr(B, "MEMORY_BYTES", 20_000)
+    ours = B.ChunkedBPE(B.vocabulary())
+    for k in range(300):
+        text = f"{k}x" * 700 + f" a{k} b{k} " + "日本" * k
+        assert ours.encode(text) == whole(library, text)
+    held = [sum(len(w) + len(i) for d in (ours.words, ours.old) for w, i in d.items()), sum(len(x) for d in (ours.chunks, ours.old_chunks) for c in d.values() for x in c)]
+    assert max(held) < 2 * (20_000 + 10_000) and max(map(len, ours.words)) <= B.LONG_WORD
