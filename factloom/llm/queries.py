@@ -48,7 +48,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digest(bpe.encoded(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return bpe.digest(bpe.decoded(bpe.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"))))
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -90,3 +90,27 @@ def test_memories_are_bounded_in_bytes(library, monkeypatch):
         assert ours.encode(text) == whole(library, text)
     held = [sum(len(w) + len(i) for d in (ours.words, ours.old) for w, i in d.items()), sum(len(x) for d in (ours.chunks, ours.old_chunks) for c in d.values() for x in c)]
     assert max(held) < 2 * (20_000 + 10_000) and max(map(len, ours.words)) <= B.LONG_WORD
+
+
+def test_decoded_is_made_of_the_ids(spark, tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    a = spark.createDataFrame([(1, "alpha beta", 0), (2, None, 0)], "doc_id long, text string, n long")
+    found = B.encoded(a)
+    assert found.columns == ["doc_id", "n", "ids"]
+    other = B.ChunkedBPE(B.vocabulary()).ids("gamma")
+    swapped = found.withColumn("ids", B.F.when(B.F.col("doc_id") == 1, B.F.lit(bytearray(other))).otherwise(B.F.col("ids")))
+    rows = {r.doc_id: r.decoded for r in B.decoded(swapped).collect()}
+    assert rows == {1: B.ChunkedBPE(B.vocabulary()).decode(other), 2: ""}
+    # a file with a decoder of its own
+    with open(B.vocabulary()) as f:
+        content = json.load(f) | {"decoder": {"type": "BPEDecoder", "suffix": "</w>"}}
+    place = tmp_path / "with_decoder.json"
+    place.write_text(json.dumps(content))
+    library = Tokenizer.from_file(str(place))
+    text = "alpha beta, gamma!"
+    assert B.ChunkedBPE(str(place)).encode(text) == whole(library, text)
+    got = B.decoded(B.encoded(a, str(place)), str(place)).filter("doc_id = 1").collect()[0].decoded
+    assert got == whole(library, "alpha beta")[1]
