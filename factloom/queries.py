@@ -504,7 +504,7 @@ def deconstruct(spark, d):
 @query("SELECT CAST(n_nationkey AS VARCHAR) AS s, 'in_region' AS p FROM nation UNION ALL SELECT 'new', 'in_region' UNION ALL SELECT CAST(n_nationkey AS VARCHAR), 'name' FROM nation UNION ALL SELECT CAST(r_regionkey AS VARCHAR), 'name' FROM region")
 def insert_data(spark, d):
     facts = T.geo(spark, d)
-    one = construct(facts.limit(1), [Template(Node("/nation", "new"), at("in_region"), Node("/region", "1"))], ("?geo",))
+    one = construct(spark.range(1), [Template(Node("/nation", "new"), at("in_region"), Node("/region", "1"))], ("?geo",))
     return set_union(facts, one.union(one)).select(F.col("s_id").alias("s"), F.col("p_id").alias("p"))
 
 

@@ -46,3 +46,9 @@ def test_constants_prune_the_tables_that_a_query_does_not_name(spark):
 def test_constants_reach_the_scan(spark):
     plan = Q.scan_po(spark, DIR)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [" in plan and "p_size" in plan
+
+
+def test_insert_into_an_empty_graph(spark, tmp_path):
+    for name in ("nation", "region"):
+        spark.read.parquet(f"{DIR}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert [tuple(r) for r in Q.QUERIES["insert_data"](spark, str(tmp_path)).collect()] == [("new", "in_region")]
