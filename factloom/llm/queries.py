@@ -34,7 +34,9 @@ def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    findings, _ = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    # the documents as a history of two ages, of which the second is scanned against the first one's ledger
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    findings, _ = secrets.scan_history(docs, F.pmod(F.xxhash64("doc_id"), F.lit(2)), 2)
     return secrets.digest(findings)
 
 

@@ -4,20 +4,24 @@ Every version of every path is addressed by the SHA-256 of its content. The ledg
 rule's version that was ever scanned, the spans that were found, none included. A scan first finds the pairs it has
 not seen, by hash alone; only the texts of blobs with such pairs are brought together, one a blob, and scanned by the
 rules they lack. The findings then join back to all paths that hold the blob. Copies cost one scan, a new version of a
-rule rescans all blobs for that rule only, and an old text costs nothing.
+rule rescans all blobs for that rule only, and an old text costs nothing. A history is scanned version by version, each against the ledger
+of those before; a ledger may be kept in a folder of the shared store between runs.
 
 Positions come from lengths: of the pieces between a rule's matches, and of the matches. They are summed in a
 window over the few rows that matches make, so a text may hold any number of them.
 
-Defined results: a null text is the empty one; a null path is a path; versions that repeat are found alike; an empty
-table gives an empty one; other columns of the versions are kept.
+Defined results: null and empty texts are one blob without findings; a null path is a path; versions that repeat are found alike; a very
+long text may hold any number of spans; spans that start together are listed in the order of the rules; an empty
+table gives an empty one; other columns of the versions are kept, but for those named blob and found, which are the operator's own.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .session import checkpointed
@@ -117,6 +121,32 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
     return paths.join(of_blob, "blob", "left").withColumn("found", F.coalesce("found", none)), new
 
 
+def scan_history(versions: DataFrame, age: Column, ages: int, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Findings of all versions, and the ledger's new rows, scanned age by age (age: 0 to ages - 1, null is 0), each against the ledger of those before."""
+    age, findings, added = F.coalesce(age.cast("int"), F.lit(0)), [], []
+    for k in range(ages):
+        found, new = scan(versions.filter(age == k), ledger, rules)
+        ledger = new if ledger is None else ledger.unionByName(new)
+        findings.append(found)
+        added.append(new)
+    return reduce(DataFrame.unionByName, findings), reduce(DataFrame.unionByName, added)
+
+
+def scan_stored(versions: DataFrame, folder: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Findings of all versions against the ledger in a folder, to which the new rows are added. A pair that two runs add at once counts as one."""
+    spark = versions.sparkSession
+    try:
+        ledger = spark.read.schema(LEDGER).parquet(folder)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        ledger = None
+    found, new = scan(versions, ledger, rules)
+    found = checkpointed(found)
+    new.write.mode("append").parquet(folder)
+    return found
+
+
 def digest(findings: DataFrame) -> DataFrame:
     """doc_id, a count a rule, base_sha256 and spans of findings."""
 

@@ -61,3 +61,50 @@ def test_only_unseen_pairs_are_scanned(spark):
     assert {(r.rule, r.version) for r in new.collect()} == {("hex", 2)} and new.count() == 3
     assert sorted((r.path, r.at, sorted(x.rule for x in r.found)) for r in found.collect()) == [("a", 1, ["assign", "hex"]), ("a", 2, ["access", "assign", "hex"]), ("d", 1, [])]
     assert S.scan(second, ledger.unionByName(new), newer)[1].count() == 0
+
+
+def test_a_history_scans_each_pair_once(spark):
+    texts = ["token=abcdef", "clean", None, "", "AKIA" + "B" * 16]
+    rows = [(k, texts[k % 5], k // 10) for k in range(40)] + [(99, "secret: abcdefg", 3), (98, "token=abcdef", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, at int")
+    found, new = S.scan_history(df, F.col("at"), 4)
+    # the four texts of the first age and the one of the last, for each rule; null and empty are one
+    pairs = [(r.blob, r.rule, r.version) for r in new.collect()]
+    assert len(pairs) == len(set(pairs)) == 5 * len(S.RULES)
+    want = sorted((i, ",".join(brute(t))) for i, t, _ in rows)
+    assert sorted((r.doc_id, r.spans) for r in S.digest(found).collect()) == want
+    # against that ledger, a second history of the same texts scans nothing
+    again, none = S.scan_history(df, F.lit(0), 1, ledger=new)
+    assert none.count() == 0 and sorted((r.doc_id, r.spans) for r in S.digest(again).collect()) == want
+
+
+def test_the_query_scans_copies_of_the_first_age_no_more(spark, tmp_path, monkeypatch):
+    from factloom.llm import queries
+
+    rows = [(k, f"password: secret{k % 7}x", "en", "s", 0) for k in range(60)]
+    spark.createDataFrame(rows, FIELDS).write.parquet(str(tmp_path / "documents.parquet"))
+    scanned, seen = [], S.scanned
+
+    def counting(texts, rules):
+        scanned.append(texts.count())
+        return seen(texts, rules)
+
+    monkeypatch.setattr(S, "scanned", counting)
+    assert len(queries.op5_secrets(spark, str(tmp_path)).collect()) == 60
+    assert scanned[0] == 7 and scanned[1] == 0
+
+
+def test_a_stored_ledger(spark, tmp_path):
+    df = spark.createDataFrame([(1, "token=abcdef"), (2, "token=abcdef"), (3, None)], "doc_id long, text string")
+    folder = str(tmp_path / "ledger")
+    first = S.digest(S.scan_stored(df, folder)).collect()
+    assert spark.read.parquet(folder).count() == 2 * len(S.RULES)
+    assert S.digest(S.scan_stored(df, folder)).collect() == first
+    S.scan_stored(df.union(spark.createDataFrame([(4, "new token=zzzzzz")], df.schema)), folder)
+    assert spark.read.parquet(folder).count() == 3 * len(S.RULES)
+
+
+def test_columns_of_the_same_names(spark):
+    df = spark.createDataFrame([(1, "token=abcdef", "mine", 5, 6, 7)], "doc_id long, text string, blob string, found int, todo int, rule int")
+    (row,) = S.scan(df)[0].collect()
+    assert row.blob != "mine" and len(row.found) == 1 and (row.todo, row.rule) == (6, 7)
