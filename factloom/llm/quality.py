@@ -1,20 +1,24 @@
 """Quality classifier: supervised subword embeddings.
 
-A word's vector is the mean of learned vectors of the word and of its character n-grams, found by hash. A document's
-vector is the mean of its words' vectors plus those of three document tokens (length, share of words that repeat the
-one before, share of distinct words). A linear layer and softmax give the class. All is learned by numpy stochastic
-gradient descent on a bounded sample: at most PER_CLASS documents of each class.
+A word's vector is the mean of learned vectors of the word and of its character n-grams, found by hash. Words that follow each other have
+a learned vector as a pair; a pair's hash is the difference (xor) of its words' hashes, so that pairs in either order share a vector and a
+word that follows itself has the same one whatever the word is. A document's vector is the mean of those of its words, its pairs and
+the mark of its end. A linear layer and softmax give the class. All is learned by numpy stochastic
+gradient descent on a bounded sample: at most PER_CLASS documents of each class. Of a batch, a vector moves by the mean step of the
+documents that hold it, and no step is longer than `longest`, so that a feature that all documents share can't run away.
 
 The layer is linear, so a word adds fixed logits to its documents. Scoring multiplies the table of vectors with the
-layer once and keeps the logits of words it has met, so whole texts cost a lookup a word.
+layer once and keeps the logits of words it has met, so whole texts cost a lookup a word and one a pair.
 
-Defined results: null and empty texts are scored by their document tokens alone; rows that repeat get one score; a null
-doc_id is not held out; without labels of both classes there is nothing to learn, and every score is 0.5.
+Defined results: null and empty texts are scored by the mark of their end alone; very long texts are read whole; rows that repeat get one score,
+and so do texts that tie; a null doc_id is not held out; without labels of both classes there is nothing to learn, and every score is 0.5; an empty
+table gives an empty one; columns of other names than doc_id and text are not read and not returned, whatever they are called.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,29 +34,41 @@ FOLDS = 5
 PER_CLASS = 2000
 THRESHOLD = 0.3
 MEMORY = 300_000
+#: A document's end, as a word. Real words hold no blank, so it never collides with one.
+END = b" end"
 
 
 @dataclass(frozen=True)
 class Shape:
+    #: words and n-grams, and pairs
     buckets: int = 1 << 18
+    pair_buckets: int = 1 << 20
     dims: int = 8
     grams: tuple[int, ...] = (3, 4)
     epochs: int = 6
     rate: float = 0.5
     #: a batch's mean gradient moves the layer, each document's own moves its vectors, so many times as far
     vector_rate: float = 20.0
-    batch: int = 64
+    #: the longest step of a vector and of a column of the layer
+    longest: float = 1.0
+    batch: int = 32
     seed: int = 17
 
 
-def document_tokens(n: int, repeated: float, distinct: float) -> list[bytes]:
-    """Tokens of a document as a whole. Real words hold no blank, so they never collide by name."""
-    return [b" length %d" % int(2 * np.log2(n + 1)), b" repeated %d" % int(10 * repeated), b" distinct %d" % int(10 * distinct)]
+def hashed(word: bytes) -> int:
+    return zlib.crc32(word)
+
+
+def pairs(hashes: np.ndarray, shape: Shape) -> np.ndarray:
+    """Buckets of the pairs of words in a row, from the words' hashes (uint32)."""
+    h = hashes[1:] ^ hashes[:-1]
+    h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+    return (h ^ (h >> np.uint32(13))) % np.uint32(shape.pair_buckets) + np.uint32(shape.buckets)
 
 
 def features(known: list[bytes], shape: Shape) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the features of each word, one after the other, and how many each word has."""
-    whole = np.array([zlib.crc32(w) for w in known], np.uint32)
+    whole = np.array([hashed(w) for w in known], np.uint32)
     text = ["<" + w.decode("utf-8", "replace") + ">" for w in known]
     sizes = np.array([len(t) for t in text])
     chars = np.frombuffer("".join(text).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -73,36 +89,36 @@ def features(known: list[bytes], shape: Shape) -> tuple[np.ndarray, np.ndarray]:
     return (h[order] % np.uint32(shape.buckets)).astype(np.int64), np.bincount(o, minlength=len(known))
 
 
-def split(text: str | None) -> tuple[list[bytes], list[bytes]]:
-    """Words of a text, and its document tokens."""
+def _bag(text: str | None, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets and weights of a document; its vector is the weighted sum of theirs."""
     found = words(text)
-    n = len(found)
-    same = sum(map(bytes.__eq__, found[1:], found)) if n > 1 else 0
-    return found, document_tokens(n, same / n if n else 0.0, len(set(found)) / n if n else 0.0)
+    count = Counter(found)
+    count[END] = 1
+    buckets, sizes = features(list(count), shape)
+    weights = np.repeat(np.array(list(count.values())) / sizes, sizes)
+    of_pairs = pairs(np.fromiter(map(hashed, found), np.uint32, len(found)), shape)
+    bag, inverse = np.unique(np.concatenate([buckets, of_pairs.astype(np.int64)]), return_inverse=True)
+    units = len(found) + 1 + len(of_pairs)
+    return bag, (np.bincount(inverse, np.concatenate([weights, np.ones(len(of_pairs))])) / units).astype(np.float32)
 
 
-def _bag(text: str | None, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets and weights of a document; its vector is the weighted sum of theirs."""
-    found, tokens = split(text)
-    count: dict[bytes, int] = {}
-    for w in found:
-        count[w] = count.get(w, 0) + 1
-    known = [*count, *tokens]
-    weight = np.array([c / len(found) for c in count.values()] + [1 / len(tokens)] * len(tokens))
-    buckets, sizes = features(known, shape)
-    bag, inverse = np.unique(buckets, return_inverse=True)
-    return bag, np.bincount(inverse, np.repeat(weight / sizes, sizes)).astype(np.float32)
+def _bounded(steps: np.ndarray, longest: float) -> np.ndarray:
+    """Steps, those that are too long cut to the longest."""
+    size = np.sqrt((steps * steps).sum(axis=-1, keepdims=True))
+    return steps * (longest / np.maximum(size, longest))
 
 
 def learn(documents: list[tuple[str | None, int]], shape: Shape = Shape()) -> np.ndarray:
     """Logits of every bucket (buckets x classes) after training on (text, class)."""
     rng = np.random.default_rng(shape.seed)
-    bags, labels = [_bag(t, shape) for t, _ in documents], np.array([k for _, k in documents])
-    vectors = rng.uniform(-1, 1, (shape.buckets, shape.dims)).astype(np.float32) / shape.dims
-    layer = np.zeros((shape.dims, 2), np.float32)
+    labels, size = np.array([k for _, k in documents], np.int64), shape.buckets + shape.pair_buckets
     share = np.bincount(labels, minlength=2) / max(1, len(labels))
     if not share.all():
-        return np.zeros((shape.buckets, 2), np.float32)
+        return np.zeros((size, 2), np.float32)
+    bags = [_bag(t, shape) for t, _ in documents]
+    # the layer starts apart and the vectors at none, so that what no document held adds nothing to a score
+    vectors = np.zeros((size, shape.dims), np.float32)
+    layer = rng.normal(0, 1, (shape.dims, 2)).astype(np.float32)
     steps, total = 0, shape.epochs * -(-len(bags) // shape.batch)
     for _ in range(shape.epochs):
         order = rng.permutation(len(bags))
@@ -112,18 +128,20 @@ def learn(documents: list[tuple[str | None, int]], shape: Shape = Shape()) -> np
             steps += 1
             idx = np.concatenate([bags[k][0] for k in chosen])
             weight = np.concatenate([bags[k][1] for k in chosen])
-            starts = np.cumsum([0] + [len(bags[k][0]) for k in chosen[:-1]])
-            hidden = np.add.reduceat(vectors[idx] * weight[:, None], starts)
+            held = [len(bags[k][0]) for k in chosen]
+            hidden = np.add.reduceat(vectors[idx] * weight[:, None], np.cumsum([0, *held[:-1]]))
             logits = hidden @ layer
             p = np.exp(logits - logits.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             p[np.arange(len(chosen)), labels[chosen]] -= 1
             p /= (2 * share[labels[chosen]])[:, None]  # both classes weigh alike
             back = p @ layer.T
-            layer -= rate * hidden.T @ p / len(chosen)
-            # each document is a step of its own for the vectors that it holds
-            rows = np.repeat(back, [len(bags[k][0]) for k in chosen], axis=0) * weight[:, None]
-            np.subtract.at(vectors, idx, rate * shape.vector_rate * rows)
+            layer -= _bounded(rate * hidden.T @ p / len(chosen), shape.longest)
+            # each document is a step of its own for the vectors that it holds, and a vector takes the mean of its steps
+            rows = np.repeat(back, held, axis=0) * weight[:, None]
+            bag, inverse = np.unique(idx, return_inverse=True)
+            mean = np.stack([np.bincount(inverse, rows[:, d]) for d in range(shape.dims)], axis=1) / np.bincount(inverse)[:, None]
+            vectors[bag] -= _bounded(rate * shape.vector_rate * mean, shape.longest).astype(np.float32)
     return vectors @ layer
 
 
@@ -131,24 +149,28 @@ class Scorer:
     """Scores texts by the logits of the buckets."""
 
     def __init__(self, logits: np.ndarray, shape: Shape):
-        self.logits, self.shape = logits[:, 1] - logits[:, 0], shape
-        self.known: dict[bytes, float] = {}
+        self.logits, self.shape = (logits[:, 1] - logits[:, 0]).astype(np.float64), shape
+        self.known: dict[bytes, tuple[float, int]] = {}
 
     def scores(self, batch: list[str]) -> np.ndarray:
         """Probability of class 1 of each text."""
-        parts = [split(t) for t in batch]
-        new = {w for found, tokens in parts for w in (*found, *tokens) if w not in self.known}
+        parts = [words(t) for t in batch]
+        new = {w for found in parts for w in (*found, END)} - self.known.keys()
         if len(self.known) + len(new) > MEMORY:
             self.known = {}
-            new = {w for found, tokens in parts for w in (*found, *tokens)}
+            new = {w for found in parts for w in (*found, END)}
         if new:
             new = list(new)
             buckets, sizes = features(new, self.shape)
             sums = np.add.reduceat(self.logits[buckets], np.cumsum(sizes) - sizes)
-            self.known.update(zip(new, (sums / sizes).tolist(), strict=True))
-        get = self.known.__getitem__
-        means = [(sum(map(get, found)) / len(found) if found else 0.0) + sum(map(get, tokens)) / len(tokens) for found, tokens in parts]
-        return 1 / (1 + np.exp(-np.array(means)))
+            self.known.update(zip(new, zip((sums / sizes).tolist(), map(hashed, new), strict=True), strict=True))
+        means = []
+        for found in parts:
+            held = [self.known[w] for w in (*found, END)]
+            hashes = np.fromiter((h for _, h in held[:-1]), np.uint32, len(found))
+            total = sum(x for x, _ in held) + self.logits[pairs(hashes, self.shape)].sum()
+            means.append(total / max(1, 2 * len(found)))
+        return 1 / (1 + np.exp(-np.clip(means, -500, 500)))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = FOLDS, shape: Shape = Shape(), per_class: int = PER_CLASS) -> np.ndarray:
@@ -161,12 +183,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int
 
     rows = sample(docs, labels, label, remainder(folds) != 0, per_class).select("doc_id", "text", "label")
     found = rows.repartition(1).mapInArrow(run, "logits binary").first()
-    return np.frombuffer(found[0], np.float32).reshape(-1, 2) if found else np.zeros((shape.buckets, 2), np.float32)
+    return np.frombuffer(found[0], np.float32).reshape(-1, 2) if found else np.zeros((shape.buckets + shape.pair_buckets, 2), np.float32)
 
 
 def score(docs: DataFrame, logits: np.ndarray, shape: Shape = Shape(), folds: int = FOLDS, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of docs."""
-    # buckets x 2 numbers, 2 MB whatever the input
+    # two numbers a bucket, 10 MB whatever the input
     shared = docs.sparkSession.sparkContext.broadcast(logits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
