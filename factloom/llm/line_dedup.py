@@ -1,15 +1,17 @@
 """Line dedup: a line found in several documents stays only in the one of the smallest doc_id.
 
 Lines are hashed to 128 bits where their document is read. Hashes held by two or more documents are dealt
-to shards of about SHARD_KEYS; each shard is a minimal perfect hash with arrays of fingerprints, counts
+to shards; each shard is a minimal perfect hash with arrays of fingerprints, counts
 and first documents. The hashes of the documents' lines are dealt to the shards and probe the arrays as they
-stream by: no line is joined with a line, and no shard or common line is gathered. A shard with many probes is
+stream by: no line is joined with a line, and no shard or common line is gathered. There are as many shards as keep both the keys and the probes of
+one within SHARD_KEYS and SHARD_PROBES on average. A shard with far more probes is
 copied, and its probes are dealt to the copies by document, so a line that a third of all documents holds
 is no task's burden. What a document loses then meets its text by doc_id.
 
 Defined results: null and empty texts are one empty line; a row without a doc_id neither holds nor loses lines;
 rows that share a doc_id are one document, and each loses its lines alike; keys under MIN_CHARS code points are never
-dropped; a document that loses all lines keeps the empty text; an empty table gives an empty one.
+dropped; of documents that tie on a line the smallest doc_id keeps it; a very long text may lose any number of lines; a document that loses all lines keeps
+the empty text; an empty table gives an empty one; other columns pass through whatever they are called, but n_chars, which is the new length.
 """
 
 from __future__ import annotations
@@ -24,11 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .minimal_hash import LineIndex
-from .session import checkpointed
+from .session import checkpointed, free_name
 from .text import LOWER, SPACE, texts
 
 MIN_CHARS = 10
-SHARD_KEYS = 50_000
+#: Keys, and hashes that probe, of a shard on average.
+SHARD_KEYS, SHARD_PROBES = 50_000, 100_000
 #: A shard's probes are dealt to copies of the shard if they are more than so many times the mean.
 HOT = 4
 #: Broadcast limit of the table of hot shards, in rows (8 bytes each).
@@ -82,18 +85,22 @@ def build_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def probe_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (shard, copy, doc_id, h1, h2, index), a shard's index before its probes, to the lines (doc_id, h1, h2) that go."""
-    index = None
+    """Rows (shard, copy, doc_id, h1, h2, index), a shard's index before its probes, to the lines (doc_id, h1, h2) that go.
+
+    A shard without an index holds no repeated line.
+    """
+    index, of = None, None
     for batch in batches:
-        doc_id, h1, h2 = (batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3, 4))
+        shard, doc_id, h1, h2 = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2, 3, 4))
         found = batch.column(5)
-        at_index = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
-        cuts = [*at_index, batch.num_rows]
+        head = found.is_valid().to_numpy(zero_copy_only=False)
+        starts = np.flatnonzero(np.concatenate([[True], (shard[1:] != shard[:-1]) | head[1:]])) if len(shard) else []
         goes = np.zeros(batch.num_rows, bool)
-        for s, e in zip([0, *(k + 1 for k in at_index)], cuts, strict=True):
-            if s and s - 1 in at_index:
-                index = LineIndex.from_bytes(found[s - 1].as_py())
-            if e > s and index is not None:
+        for s, e in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+            if head[s]:
+                index, of = LineIndex.from_bytes(found[int(s)].as_py()), shard[s]
+                s += 1
+            if e > s and of == shard[s]:
                 is_held, count, first = index.probe(h1[s:e].view(np.uint64), h2[s:e].view(np.uint64))
                 goes[s:e] = is_held & (count > 1) & (first != doc_id[s:e])
         yield batch.select(["doc_id", "h1", "h2"]).filter(pa.array(goes))
@@ -105,13 +112,14 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     # a document's own repeats are one: a key is in several documents if its least and greatest differ
     repeated = held.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first <> last")
     repeated = checkpointed(repeated.select("h1", "h2", "n", "first"))
-    shards = max(1, -(-repeated.count() // SHARD_KEYS))
+    n_held = held.count()
+    shards = max(1, -(-repeated.count() // SHARD_KEYS), -(-n_held // SHARD_PROBES))
     shard = F.pmod("h1", F.lit(shards))
     index = repeated.select(shard.alias("shard"), "h1", "h2", "n", "first").repartition("shard").sortWithinPartitions("shard")
     index = checkpointed(index.mapInArrow(build_shards, "shard long, probes long, index binary"))
-    mean = (index.agg(F.sum("probes")).first()[0] or 0) // shards + 1
-    copies = F.ceil(F.col("probes") / (HOT * mean)).cast("int")
-    hot = index.filter(F.col("probes") > HOT * mean).select("shard", copies.alias("copies"))
+    most = HOT * (n_held // shards + 1)
+    copies = F.ceil(F.col("probes") / most).cast("int")
+    hot = index.filter(F.col("probes") > most).select("shard", copies.alias("copies"))
     n_hot = hot.count()
     probes = held.select(shard.alias("shard"), "doc_id", "h1", "h2")
     if n_hot:
@@ -137,8 +145,10 @@ def kept_lines(text: str, gone: set[bytes]) -> tuple[int, list[str]]:
 
 
 def _with_gone(docs: DataFrame) -> DataFrame:
-    gone = dropped_lines(docs).withColumnRenamed("doc_id", "_of").withColumnRenamed("lines", "_gone")
-    return docs.join(gone, docs["doc_id"] == gone["_of"], "left").drop("_of")
+    """docs and, as the last column, the lines that each of its rows loses."""
+    of, lines = free_name(docs, "of"), free_name(docs, "lines")
+    gone = dropped_lines(docs).select(F.col("doc_id").alias(of), F.col("lines").alias(lines))
+    return docs.join(gone, docs["doc_id"] == gone[of], "left").drop(of)
 
 
 def _gone(column: pa.Array) -> list[set[bytes]]:
@@ -166,8 +176,7 @@ def line_digest(docs: DataFrame) -> DataFrame:
                 digests.append(hashlib.sha256("\n".join(kept).encode("utf-8", "surrogatepass")).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(digests, pa.string())], names=["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
-    rows = _with_gone(docs.select("doc_id", "text")).select("doc_id", "text", "_gone")
-    return rows.mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    return _with_gone(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
 def deduplicated_lines(docs: DataFrame) -> DataFrame:
@@ -176,7 +185,7 @@ def deduplicated_lines(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            gone = _gone(batch.column(batch.schema.get_field_index("_gone")))
+            gone = _gone(batch.column(len(names)))
             batch = batch.select(names)
             if any(gone):
                 kept = ["\n".join(kept_lines(t, g)[1]) if g else t for t, g in zip(batch.column("text").to_pylist(), gone, strict=True)]

@@ -12,7 +12,8 @@ An anchor of more than BLOCK fingerprints is cut into blocks, each of its own gr
 at most a spanning forest of its links, so what comes out grows with the fingerprints and not with pairs.
 
 Defined results: null and empty texts have fingerprint zero and link like any other; repeated rows get one
-component; a null doc_id takes part in links but is never a component's id; an empty table gives an empty one.
+component, and of texts that tie the smallest doc_id stands for all; a null doc_id takes part in links but is never a component's id; very
+long texts are hashed whole, in parts; an empty table gives an empty one; other columns pass through deduplicated() whatever they are called.
 """
 
 from __future__ import annotations
@@ -217,4 +218,4 @@ def deduplicated(docs: DataFrame) -> DataFrame:
         return kept
     # rows that share a doc_id: one of them stays
     alone = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
-    return kept.withColumn("_alone", alone).dropDuplicates(["doc_id", "_alone"]).drop("_alone")
+    return kept.select("doc_id", alone.alias("alone"), F.struct("*").alias("row")).dropDuplicates(["doc_id", "alone"]).select("row.*")

@@ -34,6 +34,7 @@ def test_digest_equals_sql(spark, monkeypatch):
     want = oracle(rows())
     assert sorted(map(tuple, L.line_digest(df).collect())) == want
     monkeypatch.setattr(L, "SHARD_KEYS", 5)
+    monkeypatch.setattr(L, "SHARD_PROBES", 7)
     monkeypatch.setattr(L, "HOT", 1)
     assert sorted(map(tuple, L.line_digest(df).collect())) == want
     assert sum(r[2] for r in want) > 300
@@ -51,6 +52,35 @@ def test_documents(spark):
     assert got[900].text is None and got[900].n_chars is None and got[902].n_chars == len(got[902].text)
 
 
+def test_few_repeated_lines_among_many(spark, monkeypatch):
+    """Shards follow the lines that probe, so that no task has them all when hardly any line is common."""
+    data = [(i, "\n".join(f"a line of its own {i} {k}" for k in range(10)) + ("\none common line" if i in (3, 5) else ""), "en", "s", 0) for i in range(400)]
+    df = spark.createDataFrame(data, FIELDS)
+    monkeypatch.setattr(L, "SHARD_PROBES", 100)
+    of = L.probe_shards
+
+    def counting(batches):
+        n = 0
+        for batch in batches:
+            n += batch.num_rows
+        yield L.pa.RecordBatch.from_arrays([L.pa.array([n]), L.pa.array([0]), L.pa.array([0])], names=["doc_id", "h1", "h2"])
+
+    monkeypatch.setattr(L, "probe_shards", counting)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    tasks = [r.doc_id for r in L.dropped_lines(df).select("doc_id").collect() if r.doc_id]
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(tasks) >= 4 and max(tasks) < 0.4 * 4002
+    monkeypatch.setattr(L, "probe_shards", of)
+    assert [(r.doc_id, r.n_dropped) for r in L.line_digest(df).filter("n_dropped > 0").collect()] == [(5, 1)]
+
+
+def test_columns_of_the_same_names(spark):
+    df = spark.createDataFrame(rows(), FIELDS).selectExpr("*", "1 as _gone", "2 as _of", "3 as of", "4 as Lines", "5 as h1", "6 as copy", "7 as index")
+    out = L.deduplicated_lines(df)
+    assert out.columns == df.columns and out.count() == df.count()
+    assert out.select("_gone", "_of", "of", "Lines", "h1", "copy", "index").distinct().collect() == [(1, 2, 3, 4, 5, 6, 7)]
+
+
 def test_edges(spark):
     df = spark.createDataFrame([(None, "a line that repeats", "", "", 0), (1, "a line that repeats", "", "", 0), (1, "a line that repeats", "", "", 0), (None, "a line that repeats", "", "", 0)], FIELDS)
     assert sorted((r.doc_id or 0, r.n_dropped) for r in L.line_digest(df).collect()) == [(0, 0), (0, 0), (1, 0), (1, 0)]

@@ -138,3 +138,13 @@ def test_components_of_chains_and_hubs(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(chain + hub + [(5, 5), (7, 6)], "a long, b long")).collect()}
     assert got == {i: 0 for i in range(101)} | {1000 + i: 1000 for i in range(200)}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_columns_of_the_same_names(spark):
+    rows = [(1, "a b c d", 1), (1, "a b c d", 2), (2, "a b c d", 3), (None, "other words here", 4), (None, "other words here", 5), (3, "", 6), (4, None, 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int").selectExpr("*", "1 as _alone", "2 as alone", "3 as row", "4 as fp", "5 as component_id")
+    out = S.deduplicated(df)
+    assert out.columns == df.columns
+    got = out.collect()
+    assert sorted(r.doc_id for r in got if r.doc_id) == [1, 3] and sum(r.doc_id is None for r in got) == 2
+    assert {tuple(r)[3:] for r in got} == {(1, 2, 3, 4, 5)} and S.deduplicated(df.limit(0)).collect() == []
