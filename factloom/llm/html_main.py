@@ -11,8 +11,10 @@ labelled pages are composed here: articles with menus, headers, footers, sidebar
 around and inside them, in many layouts, from a seed.
 
 Defined results: null and empty pages, and pages without main text, give the empty text; broken markup is read as
-browsers do (unclosed elements end with their parent, or where the next of their kind starts); rows that repeat are
-extracted alike; an empty table gives an empty one.
+browsers do (unclosed elements end with their parent, or where the next of their kind starts; a tag goes on to its >, and one that has none ends the
+page; comments end at --> or --!>), but that an attribute's quote that is never closed ends with its tag; very long pages take time in
+proportion to their length, whatever is left open in them; a label's ties go to the furniture; rows that repeat are
+extracted alike; an empty table gives an empty one; other columns are left out, whatever they are called.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ import html
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -39,19 +42,25 @@ BLOCK = frozenset(
 )
 #: Elements that a start inside them does not end a paragraph beyond.
 SCOPE = frozenset("button td th table caption body object template svg foreignobject desc mi mo mn ms mtext annotation-xml".split())
-#: What the start of an element ends, up to the element that holds it.
-ENDS = {
-    "li": ({"li"}, {"ul", "ol", "menu"}),
-    "dt": ({"dt", "dd"}, {"dl"}),
-    "dd": ({"dt", "dd"}, {"dl"}),
-    "tr": ({"tr", "td", "th"}, {"table"}),
-    "td": ({"td", "th"}, {"tr", "table"}),
-    "th": ({"td", "th"}, {"tr", "table"}),
-    "option": ({"option"}, {"select"}),
-    "body": ({"head"}, {"html"}),
-}
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|data-y)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+#: Elements whose start ends a drawing that was left open, as that of any block does.
+BREAKS_OUT = frozenset("b big br code em embed i img nobr ruby s small span strong strike sub sup tt u var".split())
+#: What the start of an element ends, up to the element that holds it: (those that start, those that end, those that hold).
+ENDS = (
+    (frozenset({"li"}), frozenset({"li"}), frozenset({"ul", "ol", "menu"})),
+    (frozenset({"dt", "dd"}), frozenset({"dt", "dd"}), frozenset({"dl"})),
+    (frozenset({"tr"}), frozenset({"tr", "td", "th"}), frozenset({"table"})),
+    (frozenset({"td", "th"}), frozenset({"td", "th"}), frozenset({"tr", "table"})),
+    (frozenset({"option"}), frozenset({"option"}), frozenset({"select"})),
+    (frozenset({"body"}), frozenset({"head"}), frozenset({"html"})),
+)
+_STARTS = {tag: nth for nth, (start, _, _) in enumerate(ENDS) for tag in start}
+_TOUCHES = frozenset().union(*(same | holds for _, same, holds in ENDS)) | HIDDEN
+#: A comment, whole or to the page's end; a declaration or an end tag without a name, as browsers skip them.
+_COMMENT = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*>?|</>|</[^a-zA-Z>][^>]*>?", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_ATTRIBUTE = re.compile(r"[\s/]*([^\s/>][^\s/>=]*)(\s*=\s*)?")
+_UNQUOTED = re.compile(r"[^\s>]*")
+_GAP = re.compile(r"[\s/]*")
 _WORD = re.compile(r"[a-zA-Z]+")
 _END = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in RAW}
 
@@ -59,7 +68,8 @@ _END = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in RAW}
 @dataclass
 class Block:
     text: str
-    #: open elements, outermost first
+    #: kinds of the open elements, and the innermost two, outermost first
+    kinds: frozenset[str]
     tags: tuple[str, ...]
     #: words of their class, id and role
     names: frozenset[str]
@@ -69,19 +79,94 @@ class Block:
     main: bool = False
 
 
-@dataclass
+@dataclass(frozen=True, slots=True)
 class _Element:
-    tag: str
-    names: frozenset[str] = field(default_factory=frozenset)
-    main: bool | None = None
-
+    """An open element and all that is asked of those around it, so that no question walks over them."""
 
-def blocks(page: str | None) -> list[Block]:
-    """The leaf blocks of a page that hold text."""
-    page, out, stack = page or "", [], []
+    tag: str
+    kinds: frozenset[str] = frozenset()
+    tags: tuple[str, ...] = ()
+    names: frozenset[str] = frozenset()
+    main: bool = False
+    in_link: bool = False
+    in_math: bool = False
+    #: inside a part of a drawing that holds blocks
+    foreign: bool = False
+    #: place of the open paragraph that a block ends, -1 for none
+    paragraph: int = -1
+    #: for each of ENDS, place of the outermost element that its start ends, -1 for none
+    ends: tuple[int, ...] = (-1,) * len(ENDS)
+
+    def inside(self, tag: str, place: int, names: frozenset[str], main: bool | None) -> _Element:
+        """An element in this one, at a place of the stack."""
+        kinds, tags = self.kinds, self.tags
+        if tag in BLOCK or tag == "a":
+            kinds, tags = kinds if tag in kinds else kinds | {tag}, (*tags[-1:], tag)
+        ends = self.ends
+        if tag in _TOUCHES:
+            ends = tuple((place if at < 0 else at) if tag in same else -1 if tag in holds or tag in HIDDEN else at for at, (_, same, holds) in zip(ends, ENDS, strict=True))
+        return _Element(
+            tag,
+            kinds,
+            tags,
+            self.names if names <= self.names else self.names | names,
+            self.main if main is None else main,
+            self.in_link or tag == "a",
+            self.in_math or tag == "math",
+            self.foreign or tag in ("foreignobject", "desc"),
+            place if tag == "p" else -1 if tag in SCOPE else self.paragraph,
+            ends,
+        )
+
+
+class _Tags:
+    """Reads the tags of a page. What was looked for once and not found is not looked for again."""
+
+    def __init__(self, page: str):
+        self.page, self.missing = page, set()
+
+    def find(self, text: str, at: int) -> int:
+        if text in self.missing:
+            return -1
+        if (found := self.page.find(text, at)) < 0:
+            self.missing.add(text)
+        return found
+
+    def attributes(self, at: int) -> tuple[dict[str, str], bool, int] | None:
+        """Attributes of the tag whose name ends at a place, whether it closes itself, and where it ends; None if it has no end."""
+        page, found = self.page, {}
+        while True:
+            m = _ATTRIBUTE.match(page, at)
+            if not m:
+                end = _GAP.match(page, at).end()
+                return (found, page[end - 1] == "/" and end > at, end + 1) if end < len(page) else None
+            at = m.end()
+            value = ""
+            if m[2]:
+                quote = page[at : at + 1]
+                if quote in ("'", '"'):
+                    end = self.find(quote, at + 1)
+                    if end < 0:  # never closed: the tag ends at its >
+                        end = self.find(">", at)
+                        if end < 0:
+                            return None
+                        found.setdefault(m[1].lower(), page[at + 1 : end])
+                        return found, False, end + 1
+                    value, at = page[at + 1 : end], end + 1
+                elif quote != ">":
+                    end = _UNQUOTED.match(page, at).end()
+                    value, at = page[at:end], end
+            found.setdefault(m[1].lower(), value)
+
+
+def blocks(page: str | None, wanted: frozenset[str] | None = None) -> list[Block]:
+    """The leaf blocks of a page that hold text. Of the words of class, id and role, those in `wanted` are kept, or all."""
+    page, out, stack = page or "", [], [_Element("")]
+    tags = _Tags(page)
     parts: list[str] = []
     linked = 0
     hidden: int | None = None  # place of the outermost hidden element; what is in it neither adds text nor ends a block
+    still_open: list[Counter[str]] = [Counter()]  # elements by tag, since the last open template and with it
 
     def flush() -> None:
         nonlocal linked
@@ -90,75 +175,75 @@ def blocks(page: str | None) -> list[Block]:
         text = " ".join("".join(parts).split())
         parts.clear()
         if text:
-            names = frozenset(n for e in stack for n in e.names)
-            label = next((e.main for e in reversed(stack) if e.main is not None), False)
-            out.append(Block(text, tuple(e.tag for e in stack if e.tag in BLOCK or e.tag == "a"), names, min(linked, len(text)), label))
+            top = stack[-1]
+            out.append(Block(text, top.kinds, top.tags, top.names, min(linked, len(text)), top.main))
         linked = 0
 
     def close(at: int) -> None:
         nonlocal hidden
-        ends_block = any(e.tag in BLOCK for e in stack[at:hidden])
+        ends_block = any(stack[k].tag in BLOCK for k in range(at, len(stack) if hidden is None else hidden))
         if hidden is not None and at <= hidden:
-            del stack[hidden:]
+            pop(hidden)
             hidden = None
         if ends_block:
             flush()
+        pop(at)
+
+    def pop(at: int) -> None:
+        for e in reversed(stack[at:]):
+            if e.tag == "template":
+                still_open.pop()
+            else:
+                still_open[-1][e.tag] -= 1
         del stack[at:]
 
     at, n = 0, len(page)
     while at < n:
-        m = _TOKEN.match(page, at)
-        at = m.end()
-        tag = m[2]
-        if tag is None:
-            token = m[0]
-            if hidden is None and (token[0] != "<" or token == "<"):
-                parts.append(html.unescape(token))
-                if any(e.tag == "a" for e in stack):
+        start = tags.find("<", at)
+        start = n if start < 0 else start
+        name = _NAME.match(page, start + 1 + page.startswith("/", start + 1)) if start == at else None
+        if name is None:
+            if start == at and (comment := _COMMENT.match(page, at)):
+                at = comment.end()
+                continue
+            # text up to the next <, or a < that starts nothing
+            end = start if start > at else at + 1
+            if hidden is None:
+                parts.append(html.unescape(page[at:end]))
+                if stack[-1].in_link:
                     linked += len(parts[-1].strip())
+            at = end
             continue
-        tag = tag.lower()
-        if m[1]:
-            found = next((k for k in range(len(stack) - 1, -1, -1) if stack[k].tag in (tag, "template")), None)
-            if found is not None and stack[found].tag == tag:
-                close(found)
-            elif tag in BLOCK:
+        is_end, tag = page[at + 1] == "/", name[0].lower()
+        read = tags.attributes(name.end())
+        if read is None:  # the page ends in a tag
+            break
+        attributes, closes_itself, at = read
+        if is_end:
+            if still_open[-1][tag] > 0:
+                close(next(k for k in range(len(stack) - 1, -1, -1) if stack[k].tag == tag))
+            elif tag in BLOCK and stack[-1].tag != "template":
                 flush()
             continue
+        if hidden is not None and stack[hidden].tag == "svg" and (tag in BLOCK or tag in BREAKS_OUT) and not stack[-1].foreign:
+            # this is no part of a drawing: it ends one that was left open
+            close(hidden)
         if tag in BLOCK:
-            # a block is no part of a drawing: it ends one that was left open
-            if hidden is not None and stack[hidden].tag == "svg" and not any(e.tag in ("foreignobject", "desc") for e in stack[hidden:]):
-                close(hidden)
             flush()
             # a paragraph ends where a block starts, unless the block is in an element inside it
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k].tag == "p":
-                    close(k)
-                if stack[k : k + 1] and stack[k].tag in SCOPE:
-                    break
+            while (k := stack[-1].paragraph) >= 0:
+                close(k)
         elif tag in ("br", "option", "optgroup") and hidden is None:
             parts.append(" ")
-        if tag in ENDS:
-            same, holds = ENDS[tag]
-            first = None
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k].tag in same:
-                    first = k
-                elif stack[k].tag in holds or stack[k].tag in HIDDEN:
-                    break
-            if first is not None:
-                close(first)
-        if tag in VOID or m[3].endswith("/") and tag not in RAW and (hidden is not None or tag in HIDDEN or tag == "math" or any(e.tag == "math" for e in stack)):
+        if tag in _STARTS and (k := stack[-1].ends[_STARTS[tag]]) >= 0:
+            close(k)
+        if tag in VOID or closes_itself and tag not in RAW and (hidden is not None or tag in HIDDEN or tag == "math" or stack[-1].in_math):
             continue
-        element = _Element(tag)
-        if "=" in m[3]:
-            for name, value in _ATTRIBUTE.findall(m[3]):
-                value = value.strip("\"'").lower()
-                if name.lower() == "data-y":
-                    element.main = value == "1"
-                else:
-                    element.names |= frozenset(_WORD.findall(value))
-        stack.append(element)
+        words = frozenset(w for k in ("class", "id", "role") for w in _WORD.findall(attributes.get(k, "").lower()) if wanted is None or w in wanted)
+        stack.append(stack[-1].inside(tag, len(stack), words, attributes["data-y"] == "1" if "data-y" in attributes else None))
+        if tag == "template":
+            still_open.append(Counter())
+        still_open[-1][tag] += 1
         if hidden is None and tag in HIDDEN:
             hidden = len(stack) - 1
         if tag in RAW:
@@ -185,9 +270,9 @@ def features(found: list[Block]) -> list[list[str]]:
         n = len(b.text)
         words = b.text.split()
         stops = sum(w[-1] in ".!?…:;" for w in words)
-        own = [f"in {t}" for t in set(b.tags)]
+        own = [f"in {t}" for t in b.kinds]
         own += [f"name {w}" for w in b.names]
-        own += [f"tag {b.tags[-1] if b.tags else '-'}", f"above {' '.join(b.tags[-2:])}", f"length {_bucket(len(words))}", f"links {round(4 * b.linked / n)}"]
+        own += [f"tag {b.tags[-1] if b.tags else '-'}", f"above {' '.join(b.tags)}", f"length {_bucket(len(words))}", f"links {round(4 * b.linked / n)}"]
         own += [f"stops {min(4, stops)}", f"last {b.text[-1] in '.!?…:;»”'}", f"first {b.text[0].isupper()}"]
         if any(c in b.text for c in "©®|·»›"):
             own.append("marks")
@@ -211,6 +296,10 @@ class Field:
     weights: dict[str, float] = field(default_factory=dict)
     pairs: list[list[float]] = field(default_factory=lambda: [[0.0, 0.0], [0.0, 0.0]])
 
+    def names(self) -> frozenset[str]:
+        """Words of class, id and role that have a weight; no other makes a difference."""
+        return frozenset(x.removeprefix("name ") for x in self.weights if x.startswith("name "))
+
     def scores(self, found: list[list[str]]) -> list[float]:
         get = self.weights.get
         return [sum(get(x, 0.0) for x in own) for own in found]
@@ -419,9 +508,9 @@ def trained() -> Field:
     return learn(labelled(TRAINING_PAGES, TRAINING_SEED))
 
 
-def main_text(page: str | None, crf: Field) -> str:
-    """Blocks of main text in page order, joined by an empty line."""
-    found = blocks(page)
+def main_text(page: str | None, crf: Field, wanted: frozenset[str] | None = None) -> str:
+    """Blocks of main text in page order, joined by an empty line. `wanted` is crf.names()."""
+    found = blocks(page, crf.names() if wanted is None else wanted)
     return "\n\n".join(b.text for b, y in zip(found, crf.best(features(found)), strict=True) if y)
 
 
@@ -431,8 +520,9 @@ def extracted(pages: DataFrame, crf: Field | None = None) -> DataFrame:
     shared = pages.sparkSession.sparkContext.broadcast(crf or trained())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        crf, wanted = shared.value, shared.value.names()
         for batch in batches:
-            text = [main_text(p, shared.value) for p in batch.column(2).to_pylist()]
+            text = [main_text(p, crf, wanted) for p in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
