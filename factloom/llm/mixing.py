@@ -7,14 +7,14 @@ ranked by (u / (1 - u)) / (p / (1 - p)), u being a hash of seed and doc_id, and
 the source has its target: a sample of fixed size in words. The row at which the target is passed is
 taken if that brings the source nearer to it.
 
-Nothing needs a whole source in one task: words are summed by (source, slice of the ranking), the slice
-in which the target is reached is found from those sums, and only that slice's rows are put in order.
+Nothing needs a whole source in one task: words are summed by (source, slice of the ranking) and then by groups of GROUP slices. The group in which the
+target is reached is found from the groups' sums, the slice from those of its slices, and only that slice's rows are put in order.
 The slice is that of q / (1 + q) for the rank q; around q = 1, where the target is reached, a slice holds
-at most about 1/SLICES of a source's rows, whatever p is.
+at most about 1/SLICES of a source's rows, whatever p is. The targets themselves order one row a source.
 
-Defined results: a null text has size 0; a null source is a source of its own, the last by name; rows of
-one doc_id and size are taken or left together; an empty table gives an
-empty mix. A source without words has target 0.
+Defined results: null and empty texts have size 0; a null source is a source of its own, the last by name; rows of
+one doc_id and size tie and are taken or left together, null doc_ids as well; a very long text is taken whole or left; an empty table gives an
+empty mix; a source without words has target 0; other columns pass through whatever they are called.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from .session import checkpointed
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
-SLICES = 65536
+SLICES, GROUP = 65536, 256
 SEED = "mix"
 #: A table of one row a source is broadcast up to so many rows (about 10 MB), and joined by shuffle beyond.
 BROADCAST_ROWS = 100_000
@@ -96,16 +96,20 @@ def selection(sized: DataFrame, weights: tuple[int, ...], share: float, most: in
     targets = checkpointed(targets.withColumn("expected", F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))))
     n = targets.count()
     ranked = with_source(sized, targets, n).withColumn("q", rank(seed)).filter("q is not null").withColumn("slice", slice_of(F.col("q")))
-    before = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    sums = checkpointed(ranked.groupBy("source", "slice").agg(F.sum("size").alias("words")))
+    group = F.floor(F.col("slice") / GROUP)
     need = F.col("_mix.target") - whole_copies() * F.col("_mix.source_size")
-    cut = (
-        with_source(ranked.groupBy("source", "slice").agg(F.sum("size").alias("words")), targets, n)
-        .withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0)))
-        .withColumn("need", need)
-        .filter((F.col("before") < F.col("need")) & (F.col("before") + F.col("words") >= F.col("need")))
-        .select("source", "slice", "before", "need")
-    )
-    cut = checkpointed(cut)
+
+    def reached(parts: DataFrame, part: str) -> DataFrame:
+        """Of each source's parts (source, part, words, start, need), the one in which the words from start on reach what it needs."""
+        earlier = Window.partitionBy("source").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+        parts = parts.withColumn("before", F.col("start") + F.coalesce(F.sum("words").over(earlier), F.lit(0)))
+        return parts.filter((F.col("before") < F.col("need")) & (F.col("before") + F.col("words") >= F.col("need"))).select("source", part, "before", "need")
+
+    groups = sums.groupBy("source", group.alias("group")).agg(F.sum("words").alias("words"))
+    groups = checkpointed(reached(with_source(groups, targets, n).select("source", "group", "words", F.lit(0).cast("long").alias("start"), need.alias("need")), "group"))
+    slices = with_source(sums, groups, n).filter(group == F.col("_mix.group"))
+    cut = checkpointed(reached(slices.select("source", "slice", "words", F.col("_mix.before").alias("start"), F.col("_mix.need").alias("need")), "slice"))
     # of the slice in which a source reaches its target, the rows in order; equal ones stay together
     passed = Window.partitionBy("source").orderBy("q", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     last = (
@@ -141,10 +145,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = SEED) -> DataFrame:
     """The rows of docs, each as many times as the mix takes it. Texts are not shuffled."""
-    sized = checkpointed(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
-    found, n = selection(sized, weights, share, most, seed)
-    repeated = with_source(docs.withColumn("_mix_size", word_count(F.col("text"))), found, n).withColumn("_mix_copies", copies(seed, "_mix_size"))
-    return repeated.filter("_mix_copies > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_mix_copies"))).alias("_mix_copy")).drop("_mix_copy")
+    # the rows themselves are one column, so that none of theirs meets one of ours
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size"))
+    found, n = selection(checkpointed(rows.select("doc_id", "source", "size")), weights, share, most, seed)
+    taken = with_source(rows, found, n).select("row", copies(seed, "size").alias("n")).filter("n > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("n")))).select("row.*")
 
 
 ORACLE_SQL = r"""

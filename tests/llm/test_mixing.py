@@ -62,3 +62,17 @@ def test_mixed_documents_keeps_columns(spark):
     assert out.columns == df.columns
     want = mixing.mix(df).agg(F.sum("copies")).first()[0]
     assert out.count() == want and out.filter("size <> 'mine' or copies <> 9").count() == 0
+
+
+def test_groups_of_slices(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SLICES", 12)
+    monkeypatch.setattr(mixing, "GROUP", 3)
+    assert sorted(map(tuple, mixed(spark, rows()).collect())) == sorted(oracle(rows()))
+
+
+def test_columns_of_the_same_names(spark):
+    df = spark.createDataFrame(rows()[:200], FIELDS).selectExpr("*", "1 as _mix", "2 as _of_source", "3 as _mix_copy", "4 as _mix_copies", "5 as _mix_size", "6 as row", "7 as n", "8 as size", "9 as col")
+    out = mixing.mixed_documents(df)
+    assert out.columns == df.columns and out.count() == mixing.mix(df).agg(F.sum("copies")).first()[0]
+    assert out.select(*df.columns[5:]).distinct().collect() == [tuple(range(1, 10))]
+    assert mixing.mixed_documents(df.limit(0)).collect() == []
