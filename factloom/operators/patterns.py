@@ -218,6 +218,12 @@ def _merge(left: DataFrame, right: DataFrame, ends: list[tuple[str, str, Var]],
         on.append(F.col(column) >= F.col(f"{var.name}.ns") if sign == ">=" else F.col(column) <= F.col(f"{var.name}.ns"))
     if not on and not is_optional:
         joined = left.crossJoin(right)
+    elif not on:
+        # rows of the left are dealt to parts and each part gets the right: by a shuffle, since its size has no bound
+        parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = F.pmod(F.xxhash64(*[F.col(f"{c}.key") for c in left.columns if not c.startswith("_")]), F.lit(parts)).cast("int")
+        every = right.select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_every"))
+        joined = left.withColumn("_part", dealt).join(every, F.col("_part") == F.col("_every"), "left")
     else:
         condition = F.lit(True)
         for x in on:

@@ -1,99 +1,190 @@
 """Named graphs as folders of Parquet, and changes to them.
 
-A change writes a new version of a graph's folder and then names it as the current one, so a statement may read the graph
-that it changes, and readers keep what they began with.
+A graph has a log: small numbered files, of which each names a folder of facts that were added, or of keys that were taken away. A change
+writes what is new and then its number in the log. A number can be taken once, so of two writers at once the later one sees that the
+graph moved and begins again with what is there now. Readers keep the facts that they began with, and a statement may read the graph that
+it changes. compact() writes a graph's facts anew, and vacuum() removes the files that no graph needs.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Callable
+from functools import reduce
+from itertools import groupby
+from urllib.parse import quote, unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import COLUMNS, FACTS
-from ..operators.lookups import set_difference, set_union
 from ..operators.patterns import Clause, Filter, match
 from ..operators.templates import Template, construct
+from .text import write_facts
+
+KEYS = ["s", "p", "o"]
+#: How often a change begins again when others write to its graph.
+TRIES = 5
 
 
 class GraphError(ValueError):
     """What went wrong with each of several graphs, joined by semicolons."""
 
 
+class _Moved(Exception):
+    """Another writer took the number."""
+
+
+def _raise(problems: list[str]) -> None:
+    if problems:
+        raise GraphError("; ".join(problems))
+
+
 class Graphs:
     """Graphs under a folder that Spark can write. Names are written with their question mark, as in ?family."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
-
-    def _versions(self) -> dict[str, str]:
-        """Current folder of each graph: that of its last entry in the catalog."""
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._files = self._path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _listed(self, folder: str) -> list[str]:
+        path = self._path(folder)
+        return sorted(x.getPath().getName() for x in self._files.listStatus(path)) if self._files.exists(path) else []
+
+    def _log(self, graph: str) -> tuple[int, list[dict] | None]:
+        """The number of a graph's last change, and its changes since it was created or compacted; None if there is no such graph."""
+        numbers, found = self._listed(f"{self.folder}/log/{quote(graph, safe='')}"), []
+        for number in reversed(numbers):
+            stream = self._files.open(self._path(f"{self.folder}/log/{quote(graph, safe='')}/{number}"))
+            try:
+                change = json.loads(bytes(stream.readAllBytes()))
+            finally:
+                stream.close()
+            if change["kind"] == "drop":
+                return int(numbers[-1]), found[::-1] if found else None
+            found.append(change)
+            if change["kind"] in ("create", "compact"):
+                break
+        return int(numbers[-1]) if numbers else 0, found[::-1] if found else None
+
+    def _note(self, graph: str, number: int, kind: str, folder: str = "") -> None:
+        """Takes a number of a graph's log."""
+        path = self._path(f"{self.folder}/log/{quote(graph, safe='')}/{number:012d}")
         try:
-            rows = self.spark.read.schema("graph string, folder string, at long, dropped boolean").parquet(f"{self.folder}/catalog")
+            stream = self._files.create(path, False)
         except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return {}
-        last = rows.groupBy("graph").agg(F.max_by(F.struct("folder", "dropped"), "at").alias("x"), F.max("at"))
-        return {r.graph: r.x.folder for r in last.collect() if not r.x.dropped}
-
-    def _note(self, graph: str, folder: str, dropped: bool = False) -> None:
-        row = self.spark.range(1).select(F.lit(graph).alias("graph"), F.lit(folder).alias("folder"), F.expr("unix_micros(current_timestamp())").alias("at"), F.lit(dropped).alias("dropped"))
-        row.coalesce(1).write.mode("append").parquet(f"{self.folder}/catalog")
-
-    def _write(self, graph: str, facts: DataFrame) -> None:
-        folder = f"{self.folder}/facts/{uuid.uuid4().hex}"
-        # near each other lie the facts of one predicate, so its scans skip the other files and row groups
-        facts.select(*COLUMNS).repartitionByRange("p_id", "s").sortWithinPartitions("p_id", "s").write.parquet(folder)
-        self._note(graph, folder)
+            if "AlreadyExists" in str(e):
+                raise _Moved from e
+            raise
+        try:
+            stream.write(bytearray(json.dumps({"kind": kind, "folder": folder}).encode()))
+        finally:
+            stream.close()
+
+    def _changed(self, graph: str, change: Callable[[list[dict]], tuple[str, DataFrame | None]]) -> None:
+        """Makes a change of what a graph's log says, and begins again if another writer was quicker."""
+        for _ in range(TRIES):
+            number, log = self._log(graph)
+            if log is None:
+                raise GraphError(f"graph {graph} does not exist")
+            kind, rows = change(log)
+            folder = f"facts/{uuid.uuid4().hex}"
+            if rows is not None:
+                rows.write.parquet(f"{self.folder}/{folder}")
+            try:
+                return self._note(graph, number + 1, kind, folder)
+            except _Moved:
+                continue
+        raise GraphError(f"graph {graph} was changed by others {TRIES} times")
+
+    def _facts(self, log: list[dict]) -> DataFrame:
+        """The facts that changes leave."""
+        facts: DataFrame | None = None
+        # runs of changes of one kind are read together
+        for kind, run in groupby(log, key=lambda change: "remove" if change["kind"] == "remove" else "add"):
+            folders = [f"{self.folder}/{change['folder']}" for change in run if change["folder"]]
+            if kind == "remove" and facts is not None:
+                facts = facts.join(self.spark.read.parquet(*folders), KEYS, "left_anti").select(*COLUMNS)
+            elif kind == "add" and folders:
+                new = self.spark.read.schema(FACTS).parquet(*folders)
+                facts = new if facts is None else facts.union(new)
+        return self.spark.createDataFrame([], FACTS) if facts is None else facts
 
     def names(self) -> DataFrame:
         """graph_id of every graph."""
-        return self.spark.createDataFrame([(g,) for g in sorted(self._versions())], "graph_id string")
+        return self.spark.createDataFrame([(g,) for g in self._names()], "graph_id string")
+
+    def _names(self) -> list[str]:
+        found = [unquote(x) for x in self._listed(f"{self.folder}/log")]
+        return sorted(g for g in found if self._log(g)[1] is not None)
 
     def create(self, *graphs: str) -> None:
         """Creates what can be created; then one error for those that exist."""
-        there, bad = self._versions(), []
+        bad = []
         for g in graphs:
-            if g in there:
+            number, log = self._log(g)
+            try:
+                if log is not None:
+                    raise _Moved
+                self._note(g, number + 1, "create")
+            except _Moved:
                 bad.append(f"graph {g} exists")
-            else:
-                self._write(g, self.spark.createDataFrame([], FACTS))
-        if bad:
-            raise GraphError("; ".join(bad))
+        _raise(bad)
 
     def drop(self, *graphs: str) -> None:
-        there, bad = self._versions(), []
+        """Drops what is there; then one error for what isn't."""
+        bad = []
         for g in graphs:
-            if g in there:
-                self._note(g, there[g], dropped=True)
-            else:
-                bad.append(f"graph {g} does not exist")
-        if bad:
-            raise GraphError("; ".join(bad))
+            try:
+                self._changed(g, lambda log: ("drop", None))
+            except GraphError as e:
+                bad.append(str(e))
+        _raise(bad)
 
     def read(self, *graphs: str) -> DataFrame:
         """All facts of the graphs; a graph named twice is read twice."""
-        there = self._versions()
-        missing = [g for g in graphs if g not in there]
-        if missing:
-            raise GraphError("; ".join(f"graph {g} does not exist" for g in missing))
-        parts = [self.spark.read.schema(FACTS).parquet(there[g]) for g in graphs]
-        whole = parts[0]
-        for more in parts[1:]:
-            whole = whole.union(more)
-        return whole
+        logs = {g: self._log(g)[1] for g in graphs}
+        _raise([f"graph {g} does not exist" for g in graphs if logs[g] is None])
+        return reduce(DataFrame.union, [self._facts(logs[g]) for g in graphs])
 
     def insert(self, facts: DataFrame, *graphs: str) -> None:
-        """Adds facts to each graph; those it has change nothing."""
+        """Adds facts to each graph; those it has change nothing. What a graph holds is read for its keys only and never written again."""
+
+        def added(log: list[dict], graph: str) -> tuple[str, DataFrame]:
+            new = facts.withColumn("graph", F.lit(graph)).select(*COLUMNS).dropDuplicates(KEYS)
+            if any(change["kind"] != "create" for change in log):
+                # the side that grows with the input is first cut to what both have
+                there = self._facts(log).select(*KEYS).join(new.select(*KEYS), KEYS, "left_semi")
+                new = new.join(there, KEYS, "left_anti").select(*COLUMNS)
+            # near each other lie the facts of one predicate, so its scans skip row groups
+            return "add", new.sortWithinPartitions("p_id", "s")
+
         for g in graphs:
-            self._write(g, set_union(self.read(g), facts.withColumn("graph", F.lit(g))))
+            self._changed(g, lambda log, g=g: added(log, g))
 
     def delete(self, facts: DataFrame, *graphs: str) -> None:
-        """Removes facts from each graph; those it lacks change nothing."""
+        """Removes facts from each graph; those it lacks change nothing. Only their keys are written."""
+        for g in graphs:
+            self._changed(g, lambda log: ("remove", facts.select(*KEYS).distinct()))
+
+    def compact(self, *graphs: str) -> None:
+        """Writes the facts of each graph anew, so that reading it no longer depends on how often it was changed."""
         for g in graphs:
-            self._write(g, set_difference(self.read(g), facts.withColumn("graph", F.lit(g))))
+            self._changed(g, lambda log: ("compact", self._facts(log).repartitionByRange("p_id", "s").sortWithinPartitions("p_id", "s")))
+
+    def vacuum(self) -> int:
+        """Removes the folders that no graph needs, and returns their number. Readers and writers that are under way may need them still."""
+        needed = {change["folder"] for g in self._names() for change in self._log(g)[1]}
+        gone = [x for x in self._listed(f"{self.folder}/facts") if f"facts/{x}" not in needed]
+        for x in gone:
+            self._files.delete(self._path(f"{self.folder}/facts/{x}"), True)
+        return len(gone)
+
+    def export(self, path: str, *graphs: str) -> None:
+        """The facts of several graphs as one folder of fact lines."""
+        write_facts(self.read(*graphs), path)
 
     def _made(self, templates: list[Template], sources: tuple[str, ...], clauses: list[Clause], filters: tuple[Filter, ...], having) -> DataFrame:
         rows = match(self.read(*sources), clauses, filters)

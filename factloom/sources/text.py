@@ -2,6 +2,8 @@
 
 A line holds subject, predicate and object between blanks or tabs: `/type<id>`, `"id"@[]` or `"id"@[time]`, and a node, a
 predicate or `"value"^^type:kind`. Lines are taken apart by column functions, so reading spreads over the files' blocks.
+What is written reads back as it was: floats have the shortest form that does, and a line end inside a fact is written as \\n or \\r, and a
+backslash before one of n, r, a line end and itself as two.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from ..model import FACTS, literal_key, node_key, predicate_key
 _NODE = r"(/\S*?[^/\s<])<([^<>]+)>"
 _BLANK = r"_:([A-Za-z][A-Za-z0-9_]*)"
 _PREDICATE = r'"((?:[^"\\]|\\.)*)"@\[([^\]]*)\]'
-_LINE = rf"^\s*((?:/\S*?<[^<>]+>)|(?:_:\w+))\s+({_PREDICATE})\s+(.*?)\s*$"
+_LINE = rf"(?s)^\s*((?:/\S*?<[^<>]+>)|(?:_:\w+))\s+({_PREDICATE})\s+(.*?)\s*$"
 _TIME = r'^"?(\d{4})-(\d\d)-(\d\d)T(\d{1,2}):(\d\d):(\d\d)(?:\.(\d{1,9}))?(Z|[+-]\d\d:\d\d)"?$'
 
 
@@ -37,13 +39,26 @@ def _unquoted(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r'\\"', '"'), r"\\\\", r"\\")
 
 
-def parsed(lines: DataFrame, graph: str | Column, column: str = "value", most_bytes: int | None = None) -> DataFrame:
+def _escaped(text: Column) -> Column:
+    """A line without line ends."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\\(?=[nr\\\n\r])", r"\\\\"), "\n", r"\\n"), "\r", r"\\r")
+
+
+def _unescaped(text: Column) -> Column:
+    """The line that was escaped: from left to right, a backslash and one of n, r and itself."""
+    # each pair of backslashes is set aside first; what stands for it is no character of a text
+    aside = F.regexp_replace(text, r"\\\\", "\x00")
+    return F.translate(F.regexp_replace(F.regexp_replace(aside, r"\\n", "\n"), r"\\r", "\r"), "\x00", "\\")
+
+
+def parsed(lines: DataFrame, graph: str | Column, column: str = "value", most_bytes: int | None = None, escapes: bool = True) -> DataFrame:
     """Facts of lines, in a graph or in that of a column; blank lines and those that start with # are no facts, and any other line that isn't one is an error.
 
-    `most_bytes` bounds text and blob literals.
+    `most_bytes` bounds text and blob literals. Without `escapes`, a backslash is one in files of others.
     """
     line = F.col(column)
     rows = lines.filter((F.trim(line) != "") & ~F.trim(line).startswith("#"))
+    line = _unescaped(line) if escapes else line
     s, p_id, p_at, o = (_part(line, _LINE, k) for k in (1, 3, 4, 5))
     of_graph = F.lit(graph) if isinstance(graph, str) else graph
     rows = rows.select(of_graph.alias("graph"), line.alias("line"), s.alias("s0"), p_id.alias("p0"), F.trim(p_at).alias("t0"), o.alias("o0"))
@@ -54,7 +69,7 @@ def parsed(lines: DataFrame, graph: str | Column, column: str = "value", most_by
     def name(text: str) -> Column:
         return F.when(F.rlike(F.col(text), F.lit(rf"^{_BLANK}$")), _part(F.col(text), rf"^{_BLANK}$", 1)).otherwise(_part(F.col(text), rf"^{_NODE}$", 2))
 
-    literal = r'^"(.*)"\^\^type:(\w+)$'
+    literal = r'(?s)^"(.*)"\^\^type:(\w+)$'
     value, of = _part(F.col("o0"), literal, 1), _part(F.col("o0"), literal, 2)
     rows = rows.withColumns({"s_type": kind("s0"), "s_id": name("s0"), "on_type": kind("o0"), "on_id": name("o0"), "lit": value, "ol_type": of})
     is_node, is_literal = F.col("on_type") != "", F.col("ol_type").isin("bool", "int64", "float64", "text", "blob")
@@ -71,7 +86,7 @@ def parsed(lines: DataFrame, graph: str | Column, column: str = "value", most_by
     def typed(k: str, x: Column) -> Column:
         return F.when(is_literal & (F.col("ol_type") == k), x)
 
-    blob = F.aggregate(F.filter(F.split(F.regexp_replace("lit", r"[\[\]]", ""), r"\s+"), lambda z: z != ""), F.lit(""), lambda acc, z: F.concat(acc, F.lpad(F.hex(z.cast("int")), 2, "0")))
+    blob = F.aggregate(F.filter(F.split(F.regexp_replace("lit", r"[\[\]]", ""), r"\s+"), lambda z: z != ""), F.lit(""), lambda acc, z: F.concat(acc, F.when(F.try_to_number(z, F.lit("999")).between(0, 255), F.lpad(F.hex(z.cast("int")), 2, "0")).otherwise(F.raise_error(F.concat(F.lit("not a byte: "), z)).cast("string"))))
     b = F.when(F.col("lit").isin("1", "t", "T", "TRUE", "true", "True"), True).when(F.col("lit").isin("0", "f", "F", "FALSE", "false", "False"), False)
     rows = rows.withColumns(
         {
@@ -97,8 +112,8 @@ def parsed(lines: DataFrame, graph: str | Column, column: str = "value", most_by
     return rows.withColumns(empty).select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in FACTS.split(", ")])
 
 
-def read_facts(spark: SparkSession, path: str, graph: str, most_bytes: int | None = None) -> DataFrame:
-    return parsed(spark.read.text(path), graph, most_bytes=most_bytes)
+def read_facts(spark: SparkSession, path: str, graph: str, most_bytes: int | None = None, escapes: bool = True) -> DataFrame:
+    return parsed(spark.read.text(path), graph, most_bytes=most_bytes, escapes=escapes)
 
 
 def read_stories(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -112,9 +127,15 @@ def read_stories(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def float_text(x: Column) -> Column:
-    """A float without a fraction it doesn't have: 1, 2.5, 1e+21."""
-    plain = F.regexp_replace(F.call_function("format_number", x, F.lit("0.################")), r"\.$", "")
-    return F.when((F.abs(x) >= 1e21) | ((x != 0) & (F.abs(x) < 1e-4)), F.lower(x.cast("string"))).otherwise(plain)
+    """The shortest form that reads back as x, without a fraction it doesn't have: 1, 2.5, 0.001; with an exponent from 1e21 on and below 0.0001."""
+    text = x.cast("string")
+    form = r"^(-?)(\d)\.(\d+)E(-?\d+)$"
+    sign, first, rest, exponent = (_part(text, form, k) for k in (1, 2, 3, 4))
+    digits, n = F.concat(first, F.regexp_replace(rest, "0$", "")), exponent.cast("int")
+    large = F.concat(F.rpad(F.substring(digits, F.lit(1), n + 1), n + 1, "0"), F.when(F.length(digits) > n + 1, F.concat(F.lit("."), F.substring(digits, n + 2, F.length(digits)))).otherwise(""))
+    plain = F.concat(sign, F.when(n < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -n - 1), digits)).otherwise(large))
+    short = F.regexp_replace(text, r"\.0$", "")
+    return F.when(~F.contains(text, F.lit("E")), short).when((F.abs(x) >= 1e21) | (F.abs(x) < 1e-4), F.lower(text)).otherwise(plain)
 
 
 def _predicate_text(prefix: str) -> Column:
@@ -123,13 +144,13 @@ def _predicate_text(prefix: str) -> Column:
 
 
 def fact_text() -> Column:
-    """subject, predicate and object of a fact, with tabs between them."""
+    """subject, predicate and object of a fact, with tabs between them, on one line."""
     hexes = F.regexp_replace(F.hex("ol_x"), "(..)", "$1 ")
     blob = F.concat(F.lit("["), F.array_join(F.transform(F.filter(F.split(hexes, " "), lambda z: z != ""), lambda z: F.conv(z, 16, 10)), " "), F.lit("]"))
     value = F.coalesce(F.col("ol_b").cast("string"), F.col("ol_i").cast("string"), float_text(F.col("ol_f")), F.col("ol_t"), blob)
     literal = F.concat(F.lit('"'), value, F.lit('"^^type:'), F.col("ol_type"))
     o = F.when(F.col("o_kind") == "N", F.col("o")).when(F.col("o_kind") == "P", _predicate_text("op")).otherwise(literal)
-    return F.concat_ws("\t", F.col("s"), _predicate_text("p"), o)
+    return _escaped(F.concat_ws("\t", F.col("s"), _predicate_text("p"), o))
 
 
 def write_facts(facts: DataFrame, path: str) -> None:

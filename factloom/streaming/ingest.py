@@ -14,11 +14,18 @@ def stream_facts(spark: SparkSession, folder: str, graph: str) -> DataFrame:
 
 
 def append(facts: DataFrame, target: str, checkpoint: str):
-    """A query that adds arriving facts to a folder of Parquet, each once a batch."""
+    """A query that adds arriving facts to a folder of Parquet, each once: one that an earlier batch brought changes nothing."""
+    keys = ["graph", "s", "p", "o"]
 
     def write(batch: DataFrame, number: int) -> None:
+        new = batch.dropDuplicates(keys)
+        if number:
+            # what this batch may have left when it failed is not counted as there
+            schema = batch.select(*keys).schema.add("batch", "long")
+            there = batch.sparkSession.read.schema(schema).parquet(target).filter(F.col("batch") < number)
+            new = new.join(there.join(new.select(*keys), keys, "left_semi"), keys, "left_anti").select(*batch.columns)
         # a folder a batch: a batch that is run again after a failure replaces what it left
-        batch.dropDuplicates(["graph", "s", "p", "o"]).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        new.write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return facts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
