@@ -8,12 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.cells import compare, compare_cells, float_of, id_of, int_of, key, order, text_of, time_of
-from .model import Literal, Node, Predicate
+from .model import Literal, Node, Predicate, fact, nanoseconds
 from .operators.lookups import exists, is_predicate, latest, lookup, predicates_of, set_difference, set_union
 from .operators.patterns import Anchored, Filter, Part, Var, clause, match, optional
-from .operators.templates import Template, construct, reify
+from .operators.templates import Template, blank, construct, reify
 from .plans.select import Out, select
 from .sources import tables as T
+from .sources.generators import tree
+from .sources.graphs import Graphs
+from .sources.scratch import scratch
+from .sources.text import fact_text, parsed, read_facts, to_json, to_text, write_facts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -84,8 +88,6 @@ def page_offset(spark, d):
 
 @query("SELECT CAST(o_orderkey AS VARCHAR) AS s FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01' AND o_orderdate <= TIMESTAMP '1997-03-01'")
 def lookup_bounds(spark, d):
-    from .model import nanoseconds
-
     found = lookup(T.sales(spark, d), low=nanoseconds("1997-01-01T00:00:00Z"), high=nanoseconds("1997-03-01T00:00:00Z"))
     return found.filter("p_id = 'placed_by'").select(F.col("s_id").alias("s"))
 
@@ -114,8 +116,6 @@ def predicates_of_object(spark, d):
 
 @query("SELECT CAST(event_id AS VARCHAR) AS s, event_type AS p FROM events WHERE ts <= TIMESTAMP '2024-01-10' QUALIFY ts = max(ts) OVER (PARTITION BY user_id, event_type)")
 def latest_within_bounds(spark, d):
-    from .model import nanoseconds
-
     rows = T.events(spark, d).filter("on_type = '/event'").filter(F.col("p_ns") <= nanoseconds("2024-01-10T00:00:00Z"))
     return latest(rows, "p", ("s",)).select(F.col("on_id").alias("s"), F.col("p_id").alias("p"))
 
@@ -457,23 +457,17 @@ def having_not(spark, d):
 
 @query("SELECT 'n_nationkey ' || n_nationkey AS value FROM nation")
 def result_text(spark, d):
-    from .sources.text import to_text
-
     found = match(T.geo(spark, d), [clause(Part(n, id=x), at("in_region"), r)])
     return to_text(found.select(F.lit("n_nationkey").alias("label"), "x"), " ")
 
 
 @query("""SELECT '/nation<' || n_nationkey || '>	"in_region"@[]	/region<' || n_regionkey || '>' AS line FROM nation UNION ALL SELECT '/nation<' || n_nationkey || '>	"name"@[]	"' || n_name || '"^^type:text' FROM nation UNION ALL SELECT '/region<' || r_regionkey || '>	"name"@[]	"' || r_name || '"^^type:text' FROM region""")
 def export_lines(spark, d):
-    from .sources.text import fact_text
-
     return T.geo(spark, d).select(fact_text().alias("line"))
 
 
 @query("SELECT CAST(p_partkey AS VARCHAR) AS s, p_size AS size FROM part")
 def import_lines(spark, d):
-    from .sources.text import fact_text, parsed
-
     lines = T.supply(spark, d).filter("p_id = 'size'").select(fact_text().alias("value"))
     return parsed(lines, "?again").select(F.col("s_id").alias("s"), F.col("ol_i").cast("int").alias("size"))
 
@@ -525,3 +519,207 @@ def show_graphs(spark, d):
     return everything.select(F.col("graph").alias("graph_id")).distinct()
 
 
+# stores and files: what is asked for is written to the shared folder and read back ------------------------------------
+
+
+@query(
+    "SELECT '?orders' AS g, 'status' AS p, count(*) AS n FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1, 2 UNION ALL SELECT '?orders', 'total', count(*) FROM orders UNION ALL SELECT '?copy', 'total', count(*) FROM orders"
+)
+def store_changes(spark, d):
+    """Created, filled twice with the same, cut down, dropped and compacted."""
+    graphs, facts = Graphs(spark, scratch(spark)), T.sales(spark, d)
+    graphs.create("?orders", "?copy", "?gone")
+    wanted = facts.filter("s_type = '/order' and p_id in ('status', 'total')")
+    graphs.insert(wanted, "?orders", "?gone")
+    graphs.insert(facts.filter("s_type = '/order' and p_id = 'total'"), "?orders", "?copy")
+    graphs.delete(facts.filter("p_id = 'status' and ol_t = 'F'"), "?orders")
+    graphs.drop("?gone")
+    graphs.compact("?copy")
+    found = graphs.read(*[r.graph_id for r in graphs.names().orderBy("graph_id").collect()])
+    return found.groupBy(F.col("graph").alias("g"), F.col("p_id").alias("p")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT DISTINCT '?by_' || lower(o_orderstatus) AS graph_id FROM orders WHERE o_orderstatus <> 'P'")
+def store_names(spark, d):
+    """A graph for each status, of which one is dropped, as the catalog lists them."""
+    graphs, facts = Graphs(spark, scratch(spark)), T.sales(spark, d).filter("p_id = 'status'")
+    names = [f"?by_{r.ol_t.lower()}" for r in facts.select("ol_t").distinct().orderBy("ol_t").collect()]  # of three statuses
+    graphs.create(*names)
+    graphs.drop("?by_p") if "?by_p" in names else None
+    return graphs.names()
+
+
+@query("SELECT '/nation<' || c_nationkey || '>' AS s, '/customer<' || c_custkey || '>' AS o FROM customer WHERE c_mktsegment <> 'BUILDING'")
+def store_construct(spark, d):
+    """Facts made of a graph into the same graph, and some of them taken out again by template."""
+    graphs = Graphs(spark, scratch(spark))
+    graphs.create("?g")
+    graphs.insert(T.sales(spark, d).filter("p_id in ('in_nation', 'segment')"), "?g")
+    graphs.construct([Template(n, at("has"), c)], ("?g",), ("?g",), [clause(c, at("in_nation"), n)])
+    graphs.deconstruct([Template(n, at("has"), c)], ("?g",), ("?g",), [clause(c, at("in_nation"), n), clause(c, at("segment"), Literal("text", "BUILDING"))])
+    return lookup(graphs.read("?g"), predicate=at("has")).select("s", "o")
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS s, o_totalprice / 3 AS v, epoch_us(o_orderdate) AS at FROM orders")
+def export_and_import(spark, d):
+    """Two graphs exported as one folder of lines and read again: floats and anchors come back as they were."""
+    folder, facts = scratch(spark), T.sales(spark, d)
+    graphs = Graphs(spark, f"{folder}/store")
+    graphs.create("?placed", "?third")
+    third = T.table(spark, d, "orders").select(fact("?third", ("/order", F.col("o_orderkey")), "third", literal=("float64", F.col("o_totalprice") / 3)))
+    graphs.insert(facts.filter("p_id = 'placed_by'"), "?placed")
+    graphs.insert(third, "?third")
+    graphs.export(f"{folder}/lines", "?placed", "?third")
+    again = read_facts(spark, f"{folder}/lines", "?again", most_bytes=1000)
+    found = match(again, [clause(o, at("third"), v), clause(o, Anchored("placed_by", t), c)])
+    return found.select(id_of("o").alias("s"), float_of("v").alias("v"), time_of("t").alias("at"))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS s, text AS t FROM documents WHERE text IS NOT NULL")
+def export_texts(spark, d):
+    """Whole texts, line ends and all, as fact lines and back."""
+    folder, docs = scratch(spark), T.table(spark, d, "documents").filter("text is not null")
+    write_facts(docs.select(fact("?texts", ("/doc", F.col("doc_id")), "text", literal=("text", F.col("text")))), folder)
+    return read_facts(spark, folder, "?texts").select(F.col("s_id").alias("s"), F.col("ol_t").alias("t"))
+
+
+@query("SELECT '{\"?c\":{\"node\":\"/customer<' || c_custkey || '>\"},\"?o\":' || CASE WHEN o_orderkey IS NULL THEN '{}' ELSE '{\"node\":\"/order<' || o_orderkey || '>\"}' END || '}' AS value FROM customer LEFT JOIN orders ON o_custkey = c_custkey")
+def result_json(spark, d):
+    return to_json(match(T.sales(spark, d), [clause(c, at("in_nation"), n), optional(o, Anchored("placed_by"), c)]).select("c", "o"))
+
+
+@query("SELECT '/customer<' || c_custkey || '> ' || c_mktsegment AS value FROM customer")
+def result_text_customers(spark, d):
+    found = match(T.sales(spark, d), [clause(c, at("segment"), s)])
+    return to_text(found.select("c", text_of("s").alias("s")), " ")
+
+
+@query("SELECT '?seg_' || lower(c_mktsegment) AS graph, count(*) AS n FROM customer GROUP BY 1")
+def story_files(spark, d):
+    """Facts in files of the story form, a file a market segment, read back."""
+    folder = scratch(spark)
+    lines = lookup(T.sales(spark, d), predicate=at("segment")).select(F.concat(F.lit("?seg_"), F.lower("ol_t")).alias("id"), F.pmod(F.xxhash64("s"), F.lit(16)).alias("part"), fact_text().alias("line"))
+    # a story is one JSON document, so a segment's lines are dealt to sixteen of them
+    sources = lines.groupBy("id", "part").agg(F.collect_list("line").alias("Facts")).select(F.array(F.struct(F.col("id").alias("ID"), "Facts")).alias("Sources"))
+    story = sources.select(F.lit("segments").alias("Name"), "Sources", F.from_json(F.lit("[]"), "array<struct<Requires:string>>").alias("Assertions"))
+    story.select(F.to_json(F.struct("*")).alias("value")).write.text(folder)
+    stories = parsed(
+        spark.read.schema("Sources array<struct<ID:string,Facts:array<string>>>").json(folder).select(F.explode("Sources").alias("x")).select(F.col("x.ID").alias("id"), F.explode("x.Facts").alias("value")),
+        F.col("id"),
+    )
+    return stories.groupBy("graph").agg(F.count("*").alias("n"))
+
+
+# the same operators over tables that grow, and cases that the queries above leave out ---------------------------------
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS c FROM customer WHERE c_custkey = c_nationkey")
+def repeated_id(spark, d):
+    """One variable for the ids of a subject and its object."""
+    return match(T.sales(spark, d), [clause(Part(c, id=x), at("in_nation"), Part(n, id=x))]).select(*ids("c"))
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS u, CAST(event_id AS VARCHAR) AS e FROM events WHERE user_id = event_id % 97")
+def repeated_node(spark, d):
+    """One variable for a subject and its object, over links between users made of the events."""
+    links = T.table(spark, d, "events").select(fact("?links", ("/user", F.col("user_id")), F.concat(F.lit("e"), F.col("event_id")), node=("/user", F.col("event_id") % 97)))
+    return match(links, [clause(u, Part(p, id=e), u)]).select(*ids("u"), F.substring(key("e"), 2, 99).alias("e"))
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS o FROM orders WHERE o_orderdate <= (SELECT min(o_orderdate) + INTERVAL 300 DAY FROM orders)")
+def pred_range_open_low_rows(spark, d):
+    first = lookup(T.sales(spark, d), filtered=None).filter("p_id = 'placed_by'").agg(F.min("p_ns")).first()[0] or 0
+    high = spark.range(1).select(F.date_format(F.timestamp_micros(F.lit(first // 1000 + 300 * 86_400_000_000)), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")).first()[0]
+    return match(T.sales(spark, d), [clause(o, Anchored("placed_by", high=high), c)]).select(*ids("o"))
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS p FROM part WHERE p_brand <> 'Brand#11' AND NOT EXISTS (SELECT 1 FROM part q WHERE q.p_partkey = part.p_partkey AND q.p_size > 25)")
+def optional_missing_rows(spark, d):
+    facts = T.supply(spark, d)
+    large = lookup(facts, predicate=at("size")).filter("ol_i > 25").withColumn("p_id", F.lit("large")).withColumn("p", F.lit("large@"))
+    found = match(facts.union(large), [clause(p, at("brand"), b), optional(p, at("large"), s)])
+    return found.filter(F.col("s").isNull() & ~compare("b", "=", Literal("text", "Brand#11"))).select(*ids("p"))
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS c, CAST(s_suppkey AS VARCHAR) AS s FROM customer LEFT JOIN (SELECT s_suppkey FROM supplier WHERE s_nationkey = 4) ON true WHERE c_nationkey = 4")
+def optional_disjoint_rows(spark, d):
+    """An optional clause that shares no variable and has matches."""
+    facts = T.sales(spark, d).union(T.supply(spark, d).filter("p_id = 'in_nation'").withColumn("p_id", F.lit("based_in")).withColumn("p", F.lit("based_in@")))
+    return match(facts, [clause(c, at("in_nation"), Node("/nation", "4")), optional(s, at("based_in"), Node("/nation", "4"))]).select(*ids("c", "s"))
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS u, event_type AS p, epoch_us(ts) AS at FROM events QUALIFY ts = max(ts) OVER (PARTITION BY event_type)")
+def filter_object_latest_pattern(spark, d):
+    """The filter on an object, through a pattern."""
+    found = match(T.events(spark, d), [clause(u, at("did"), Part(o, id=k, at=t))], (Filter("latest", o),))
+    return found.select(*ids("u"), key("k").alias("p"), time_of("t").alias("at"))
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS u, CAST(event_id AS VARCHAR) AS e FROM events WHERE ts = (SELECT max(ts) FROM events WHERE event_type = 'view') AND event_type = 'view'")
+def lookup_filtered(spark, d):
+    found = lookup(T.events(spark, d).filter("p_id = 'view'"), filtered="latest")
+    return found.select(F.col("s_id").alias("u"), F.col("on_id").alias("e"))
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS c FROM customer WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = 1 AND c_nationkey = 99) AND false")
+def exist_filter_absent(spark, d):
+    """A fact that is not there leaves no rows, whatever else matches."""
+    return match(T.sales(spark, d), [clause(Node("/customer", "1"), at("in_nation"), Node("/nation", "99")), clause(c, at("segment"), s)]).select(*ids("c"))
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS u, event_type AS p FROM events WHERE ts = (SELECT ts FROM events WHERE event_id = 5) AND event_type = (SELECT event_type FROM events WHERE event_id = 5)")
+def pred_constant_temporal(spark, d):
+    """A predicate with its anchor as a constant."""
+    row = T.table(spark, d, "events").filter("event_id = 5").select("event_type", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("at")).first()
+    known = Predicate(row.event_type, row.at) if row else Predicate("none", "1970-01-01T00:00:00Z")
+    return match(T.events(spark, d), [clause(u, Part(known, alias=p), e)]).select(*ids("u"), id_of("p").alias("p"))
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS u, epoch_us(ts) AS at FROM events WHERE event_type = 'signup'")
+def object_anchor_binding(spark, d):
+    """A variable for the anchor of an object's predicate."""
+    return match(T.events(spark, d), [clause(u, at("did"), Part(Anchored("signup", t)))]).select(*ids("u"), time_of("t").alias("at"))
+
+
+@query("SELECT CAST(NULL AS VARCHAR) AS b, CAST(NULL AS BIGINT) AS n WHERE false")
+def group_of_nothing(spark, d):
+    """Groups of no rows are none."""
+    found = select(T.supply(spark, d), [clause(p, at("brand"), Literal("text", "Brand#none")), clause(p, at("type"), b)], [Out("b", "b"), Out("n", "p", "count")], group_by=("b",))
+    return found.select(text_of("b").alias("b"), "n")
+
+
+@query("SELECT 'by_' || o_orderstatus AS p, '/_<v>' AS s, count(DISTINCT o_custkey) AS n FROM orders GROUP BY 1, 2")
+def construct_blank(spark, d):
+    """Facts of a blank node, with the predicates' names taken from the rows."""
+    rows = match(T.sales(spark, d), [clause(o, at("status"), s), clause(o, Anchored("placed_by"), c)])
+    made = [construct(rows.filter(compare("s", "=", Literal("text", x))), [Template(blank("v"), at(f"by_{x}"), c)], ("?out",)) for x in "FOP"]
+    return T.union(made).groupBy(F.col("p_id").alias("p"), "s").agg(F.count("*").alias("n"))
+
+
+@query("SELECT g, p, count(*) AS n FROM (SELECT DISTINCT s_nationkey FROM supplier), (SELECT unnest(['?x', '?y']) AS g), (SELECT unnest(['sells', 'is_market']) AS p) GROUP BY 1, 2")
+def construct_many(spark, d):
+    """Two templates into two graphs; a fact is once in each."""
+    rows = match(T.supply(spark, d), [clause(s, at("in_nation"), n)])
+    made = construct(rows, [Template(n, at("sells"), Node("/thing", "goods")), Template(n, at("is_market"), Literal("bool", True))], ("?x", "?y"))
+    return made.groupBy(F.col("graph").alias("g"), F.col("p_id").alias("p")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT CAST(o_custkey AS VARCHAR) AS s, 'status' AS p FROM orders WHERE o_orderkey < 0 UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'status' FROM orders UNION ALL SELECT 'new', 'status'")
+def insert_orders(spark, d):
+    facts = T.sales(spark, d).filter("p_id = 'status'")
+    one = construct(spark.range(1), [Template(Node("/order", "new"), at("status"), Literal("text", "O"))], ("?sales",))
+    return set_union(set_union(facts, one), facts).select(F.col("s_id").alias("s"), F.col("p_id").alias("p"))
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS s FROM orders WHERE o_orderstatus <> 'F'")
+def delete_orders(spark, d):
+    facts = T.sales(spark, d).filter("p_id = 'status'")
+    return set_difference(facts, lookup(facts, obj=Literal("text", "F"))).select(F.col("s_id").alias("s"))
+
+
+@query("SELECT depth, count(*) AS n FROM (SELECT CAST(floor(log2(o_orderkey + 1)) AS BIGINT) AS depth FROM (SELECT row_number() OVER () AS o_orderkey FROM orders)) GROUP BY 1")
+def generated_tree(spark, d):
+    """A binary tree of as many facts as there are orders: its nodes by depth."""
+    made = tree(spark, T.table(spark, d, "orders").count(), 2)
+    depth = F.floor(F.log2(F.col("on_id").cast("long") + 1)).cast("long")
+    return made.groupBy(depth.alias("depth")).agg(F.count("*").alias("n"))
