@@ -7,8 +7,9 @@ whole ratio is out of the band of its length, or if over a share of its chunks a
 
 Rows are handled one by one in Arrow batches; nothing is shuffled.
 
-Defined results: null and empty texts have no words, so base_failed is true and kept false; rows that repeat
-are judged alike; an empty table gives an empty table; other columns of the input are left out of the digest.
+Defined results: null and empty texts have no words, so base_failed is true and kept false; very long texts are packed whole and in chunks; texts under 200 bytes
+have no band, and those under two chunks are judged by their whole ratio alone; a ratio at a limit is within; rows that repeat
+are judged alike; an empty table gives an empty table; other columns of the input are left out of the digest and pass through kept_documents(), whatever they are called.
 """
 
 from __future__ import annotations

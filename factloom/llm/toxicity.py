@@ -11,8 +11,9 @@ sample, makes the score, so that the threshold on the score is one on all of the
 
 Windows recur, so workers keep the distances of those they have met, up to MEMORY of them.
 
-Defined results: a text without words has no hits and gets the score of none; rows that repeat get one score; a null
-doc_id is not held out; without labels of both classes, or without a segment that stands out, every score is 0.
+Defined results: null and empty texts, and texts without words, have no hits and get the score of none; very long texts are read whole; rows that repeat and
+texts that tie get one score; a null doc_id is not held out; without labels of both classes, or without a segment that stands out, every score is 0; an
+empty table gives an empty one; columns of other names than doc_id and text are not read and not returned, whatever they are called.
 """
 
 from __future__ import annotations

@@ -81,3 +81,43 @@ def test_chunks_judge_common_documents():
         zstd = zstandard.ZstdCompressor(level=Q.Bands().level, write_content_size=False, write_checksum=False)
         ratio, bad, ok = Q.compression(noise + line, Q.Bands(), zstd)
         assert not Q.Bands().out(2 * n, ratio) and bad > 0.34 and not ok
+
+
+def test_verdicts_equal_a_plain_reading_of_the_rules(spark):
+    """kept by brute force: the counts by definition, the bands from a table of their own, chunks by slicing."""
+    import random
+    import zstandard
+
+    bands = [(64000, 0.06, 0.55), (16000, 0.08, 0.56), (4000, 0.1, 0.6), (2000, 0.12, 0.65), (1000, 0.14, 0.7), (500, 0.18, 0.78), (200, 0.25, 0.85), (0, 0.0, 9.0)]
+
+    def within(raw):
+        ratio = len(zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False).compress(raw)) / len(raw)
+        low, high = next((low, high) for n, low, high in bands if len(raw) >= n)
+        return low <= ratio <= high
+
+    def kept(text):
+        raw = (text or "").encode()
+        words = raw.split()
+        windows = [tuple(words[k : k + 3]) for k in range(len(words) - 2)]
+        twice = {w for w in windows if windows.count(w) > 1}
+        repeated = {k + j for k, w in enumerate(windows) if w in twice for j in range(3)}
+        if len(words) < 50 or 100 * len(repeated) > 50 * len(words):
+            return False
+        chunks = max(1, len(raw) // 1024)
+        bad = sum(not within(raw[k * len(raw) // chunks : (k + 1) * len(raw) // chunks]) for k in range(chunks)) if chunks > 1 else 0
+        return within(raw) and bad <= 0.34 * chunks
+
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(1, n)))
+    noise = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(n))
+    texts = [None, "", " ", "a " * 60, "x" * 5000, noise(3000), " ".join(noise(9) for _ in range(400))]
+    for n in (20, 60, 150, 400, 900):
+        pool = [word(9) for _ in range(max(5, n // 3))]
+        texts += [" ".join(word(9) for _ in range(n)), " ".join(rng.choices(pool, k=n)), " ".join(rng.choices(pool[:6], k=n))]
+        half = " ".join(word(8) for _ in range(n))
+        texts += [half + "\n" + "one line again and again " * (n // 5), half + "\n" + " ".join(noise(40) for _ in range(n // 4)), " ".join(f"{a} {a}" for a in pool)]
+    df = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.kept for r in Q.judge(df).collect()}
+    want = {k: kept(t) for k, t in enumerate(texts)}
+    assert got == want and 5 < sum(want.values()) < len(want) - 5
+    assert {r.doc_id for r in Q.kept_documents(df).collect()} == {k for k, v in want.items() if v}
