@@ -1,4 +1,15 @@
-"""From raw documents to token ids: quality rules, line dedup, near-dedup, mixing to weights, BPE."""
+"""From raw documents to token ids: quality rules, line dedup, near-dedup, mixing to weights, BPE.
+
+Every stage but the last returns the columns of its input, others than those of documents as well, whatever they are called. Defined results by stage:
+
+* Nulls: a null text fails the quality rules, and in the later stages is the empty one; a null doc_id neither holds nor loses lines, and its row stays in
+  near-dedup; a null source is a source of its own.
+* Empty and very long texts: empty ones fail the rules; a document may be left empty by line dedup, and empty ones are then near copies of each other; long ones
+  are read whole by each stage.
+* Ties and repeats: of equal lines and of near copies the smallest doc_id keeps its own; rows that share a doc_id are one document in line dedup, and one of them stays in
+  near-dedup; the mix repeats rows.
+* An empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
