@@ -45,9 +45,9 @@ def ids(*names: str) -> list:
 # lookups ------------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT 'in_nation' AS p, '/nation<' || c_nationkey || '>' AS o FROM customer WHERE c_custkey = 7 UNION ALL SELECT 'segment', '\"' || c_mktsegment || '\"^^type:text' FROM customer WHERE c_custkey = 7")
+@query("SELECT 'in_nation' AS p, '/nation<' || c_nationkey || '>' AS o FROM customer WHERE c_custkey = 7 UNION ALL SELECT 'segment', '\"' || c_mktsegment || '\"^^type:text' FROM customer WHERE c_custkey = 7 UNION ALL SELECT 'acctbal', '\"' || c_acctbal || '\"^^type:float64' FROM customer WHERE c_custkey = 7")
 def scan_s(spark, d):
-    found = lookup(T.sales(spark, d), Node("/customer", "7")).filter(F.col("p_id") != "acctbal")
+    found = lookup(T.sales(spark, d), Node("/customer", "7"))
     return found.select(F.col("p_id").alias("p"), "o")
 
 
@@ -103,9 +103,9 @@ def scan_po_temporal(spark, d):
     return found.select(F.col("s_id").alias("o"), F.expr("p_ns div 1000").alias("at"))
 
 
-@query("SELECT event_type AS p, epoch_us(ts) AS at FROM events WHERE user_id = 17")
+@query("SELECT event_type AS p, epoch_us(ts) AS at FROM events WHERE user_id = 17 UNION ALL SELECT 'did', NULL FROM events WHERE user_id = 17")
 def predicates_of_subject(spark, d):
-    found = predicates_of(T.events(spark, d).filter("p_id <> 'did'"), Node("/user", "17"))
+    found = predicates_of(T.events(spark, d), Node("/user", "17"))
     return found.select(F.col("p_id").alias("p"), F.expr("p_ns div 1000").alias("at"))
 
 
