@@ -41,6 +41,21 @@ def _raise(problems: list[str]) -> None:
         raise GraphError("; ".join(problems))
 
 
+def _empty(log: list[dict]) -> bool:
+    """Whether nothing was ever added to the graph of a log."""
+    return all(change["kind"] == "create" for change in log)
+
+
+def _each_once(facts: DataFrame) -> DataFrame:
+    """One of the facts of each key, of facts that are dealt by their keys.
+
+    A predicate's key has its name, so the name changes no group, and repeats are found in the order in which facts are written: by one sort.
+    What else a fact has is one value, since a function for each column costs more than all else here.
+    """
+    rest = [c for c in COLUMNS if c not in ("p_id", *KEYS)]
+    return facts.groupBy("p_id", *KEYS).agg(F.first(F.struct(*rest)).alias("rest")).select("p_id", *KEYS, "rest.*").select(*COLUMNS)
+
+
 class Graphs:
     """Graphs under a folder that Spark can write. Names are written with their question mark, as in ?family."""
 
@@ -83,8 +98,8 @@ class Graphs:
         finally:
             stream.close()
 
-    def _changed(self, graph: str, change: Callable[[list[dict]], tuple[str, DataFrame | None]]) -> None:
-        """Makes a change of what a graph's log says, and begins again if another writer was quicker."""
+    def _changed(self, graph: str, change: Callable[[list[dict]], tuple[str, DataFrame | None]]) -> tuple[list[dict], str]:
+        """Makes a change of what a graph's log says, and begins again if another writer was quicker. Returns that log and the change's folder."""
         for _ in range(TRIES):
             number, log = self._log(graph)
             if log is None:
@@ -94,7 +109,8 @@ class Graphs:
             if rows is not None:
                 rows.write.parquet(f"{self.folder}/{folder}")
             try:
-                return self._note(graph, number + 1, kind, folder)
+                self._note(graph, number + 1, kind, folder)
+                return log, folder
             except _Moved:
                 continue
         raise GraphError(f"graph {graph} was changed by others {TRIES} times")
@@ -152,17 +168,25 @@ class Graphs:
     def insert(self, facts: DataFrame, *graphs: str) -> None:
         """Adds facts to each graph; those it has change nothing. What a graph holds is read for its keys only and never written again."""
 
+        once: str | None = None  # a folder that has each of the facts once, as an empty graph among these got them
+
         def added(log: list[dict], graph: str) -> tuple[str, DataFrame]:
-            new = facts.withColumn("graph", F.lit(graph)).select(*COLUMNS).dropDuplicates(KEYS)
-            if any(change["kind"] != "create" for change in log):
-                # the side that grows with the input is first cut to what both have
-                there = self._facts(log).select(*KEYS).join(new.select(*KEYS), KEYS, "left_semi")
+            if once:
+                new = self.spark.read.schema(FACTS).parquet(once)
+            else:
+                new = facts.select(*COLUMNS).repartition(*KEYS)
+            new = new.withColumn("graph", F.lit(graph)).select(*COLUMNS)
+            if not _empty(log):
+                # the side that grows with the input is first cut to what both have; for that, repeats do no harm
+                there = self._facts(log).select(*KEYS).join(facts.select(*KEYS), KEYS, "left_semi")
                 new = new.join(there, KEYS, "left_anti").select(*COLUMNS)
             # near each other lie the facts of one predicate, so its scans skip row groups
-            return "add", new.sortWithinPartitions("p_id", "s")
+            return "add", (new if once else _each_once(new)).sortWithinPartitions("p_id", "s")
 
         for g in graphs:
-            self._changed(g, lambda log, g=g: added(log, g))
+            log, folder = self._changed(g, lambda log, g=g: added(log, g))
+            if _empty(log):
+                once = f"{self.folder}/{folder}"
 
     def delete(self, facts: DataFrame, *graphs: str) -> None:
         """Removes facts from each graph; those it lacks change nothing. Only their keys are written."""

@@ -295,6 +295,29 @@ def test_lines_are_taken_apart_once(spark, facts, tmp_path):
     assert read[1].p_ns == read[1].op_ns == nanoseconds("2031-06-03T07:15:00.5Z") and len(read[2].p_id) == 20000
 
 
+def test_an_insert_shuffles_and_sorts_once(spark, facts, tmp_path, monkeypatch):
+    g, plans = Graphs(spark, str(tmp_path / "store")), []
+    changed = g._changed
+
+    def kept(graph, change):
+        def seen(log):
+            kind, new = change(log)
+            plans.append(new._jdf.queryExecution().executedPlan().toString())
+            return kind, new
+
+        return changed(graph, seen)
+
+    monkeypatch.setattr(g, "_changed", kept)
+    g.create("?a", "?b", "?c")
+    g.insert(facts.filter("p_id = 'flag'"), "?c")
+    late = facts.filter("p_id = 'flag'").withColumn("s", F.lit("/vessel<tern>"))
+    g.insert(facts.union(late), "?c", "?a", "?b", "?a")
+    # the first of the empty graphs has each fact once, and the second is given the same
+    assert plans[2].count("Exchange") == 1 and plans[2].count("Sort [") == 1 and "Exchange" not in plans[3]
+    assert [g.read(x).count() for x in ("?a", "?b", "?c")] == [22, 22, 22]
+    assert rows(g.read("?b").select("graph").distinct(), "graph") == [("?b",)]
+
+
 def test_writers_at_once_lose_nothing(spark, facts, tmp_path, monkeypatch):
     g, other = Graphs(spark, str(tmp_path / "store")), Graphs(spark, str(tmp_path / "store"))
     g.create("?a")
