@@ -15,6 +15,10 @@ from ..model import Literal, Node, Predicate, nanoseconds
 from .lookups import FILTERS, is_object, is_predicate, is_subject, within
 
 
+#: The most pairs that one part of a join of large groups makes, about.
+PART_PAIRS = 4_000_000
+
+
 @dataclass(frozen=True)
 class Var:
     name: str
@@ -206,12 +210,37 @@ def scan(facts: DataFrame, c: Clause, bound: dict[str, str | None], filters: tup
     return found.select(*outs, *extra), [(f"_end{k}", sign, var) for k, (_, sign, var) in enumerate(ends)]
 
 
-def _merge(left: DataFrame, right: DataFrame, ends: list[tuple[str, str, Var]], is_optional: bool) -> DataFrame:
+def _dealt(left: DataFrame, right: DataFrame, shared: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a column _part: where a value pairs large groups, its rows of the left are dealt to parts and each part gets those of the right.
+
+    Values go by a hash, and two of one hash only make parts smaller. Broadcast are the values of more than PART_PAIRS pairs: at most a row
+    in 2,000 of both sides.
+    """
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = left.withColumn("_hash", F.xxhash64(*[F.col(f"{c}.key") for c in shared]))
+    right = right.withColumn("_hash", F.xxhash64(*[F.col(f"_other_{c}.key") for c in shared]))
+    sizes = left.select("_hash", F.lit(1).alias("_l"), F.lit(0).alias("_r")).union(right.select("_hash", F.lit(0), F.lit(1)))
+    pairs = F.sum("_l").cast("double") * F.sum("_r")
+    large = sizes.groupBy("_hash").agg(F.sum("_l").alias("_l"), pairs.alias("_pairs")).filter(F.col("_pairs") > PART_PAIRS)
+    large = F.broadcast(large.select("_hash", F.least(F.ceil(F.col("_pairs") / PART_PAIRS), "_l").cast("int").alias("_parts")))
+    keys = [F.col(f"{c}.key") for c in left.columns if not c.startswith("_")]
+    left = left.join(large, "_hash", "left").withColumn("_part", F.pmod(F.xxhash64(*keys), F.coalesce("_parts", F.lit(1))).cast("int"))
+    right = right.join(large, "_hash", "left").withColumn("_other_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)))
+    # a fixed number of tasks, since rows that are few may make very many pairs; on both sides, since either may be sent to all tasks of the other
+    left = left.drop("_hash", "_parts").repartition(parts, *[F.col(f"{c}.key") for c in shared], "_part")
+    return left, right.drop("_hash", "_parts").repartition(parts, *[F.col(f"_other_{c}.key") for c in shared], "_other_part")
+
+
+def _merge(left: DataFrame, right: DataFrame, ends: list[tuple[str, str, Var]], is_optional: bool, in_groups: bool = False) -> DataFrame:
     shared = [c for c in right.columns if c in left.columns]
     own = [c for c in right.columns if c not in left.columns and not c.startswith("_end")]
     for c in shared:
         right = right.withColumnRenamed(c, f"_other_{c}")
+    columns = left.columns
     on = [F.col(f"{c}.key") == F.col(f"_other_{c}.key") for c in shared]
+    if shared and in_groups:
+        left, right = _dealt(left, right, shared)
+        on.append(F.col("_part") == F.col("_other_part"))
     for column, sign, var in ends:
         if var.name not in left.columns:
             raise ValueError(f"no earlier clause binds ?{var.name}")
@@ -229,7 +258,7 @@ def _merge(left: DataFrame, right: DataFrame, ends: list[tuple[str, str, Var]],
         for x in on:
             condition &= x
         joined = left.join(right, condition, "left" if is_optional else "inner")
-    return joined.select(*left.columns, *own)
+    return joined.select(*columns, *own)
 
 
 def match(facts: DataFrame, clauses: list[Clause], filters: tuple[Filter, ...] = (), before: str | None = None, after: str | None = None) -> DataFrame:
@@ -244,7 +273,11 @@ def match(facts: DataFrame, clauses: list[Clause], filters: tuple[Filter, ...] =
     whole: DataFrame | None = None
     tests: list[DataFrame] = []
     bound: dict[str, str | None] = {}
+    subjects: set[str] = set()
     for c in clauses:
+        # a subject has few facts of a predicate; values that are no clause's subject may pair groups of any size
+        before_it = set(bound)
+        subjects |= {v.name for v in (c.subject.value, c.subject.alias, c.subject.id) if isinstance(v, Var)}
         here, ends = scan(facts, c, bound, filters, low, high)
         bound |= {name: kind for name, _, kind, _ in _bindings(c)}
         if not here.columns or all(x.startswith("_end") for x in here.columns) and not ends:
@@ -256,7 +289,7 @@ def match(facts: DataFrame, clauses: list[Clause], filters: tuple[Filter, ...] =
                 raise ValueError(f"no earlier clause binds ?{ends[0][2].name}")
             whole = here
         else:
-            whole = _merge(whole, here, ends, c.optional)
+            whole = _merge(whole, here, ends, c.optional, not subjects & before_it & set(here.columns))
     if whole is None:
         whole, *tests = tests
     for t in tests:

@@ -164,6 +164,24 @@ def test_joins(facts):
     assert match(facts, [clause(Part(a, id=x), P("feeds"), b), clause(b, P("feeds"), x)]).count() == 0
 
 
+def test_large_groups_are_joined_in_parts(spark, monkeypatch):
+    member = spark.range(0, 60, 1, 1).select(fact("?g", ("/m", F.col("id")), "of", node=("/team", F.when(F.col("id") < 50, 0).otherwise(F.col("id")))))
+    lone = spark.range(1).select(fact("?g", ("/m", F.lit("lone")), "of", node=("/team", F.lit("none"))))
+    member = member.union(lone)
+    clauses = [clause(a, P("of"), x), clause(b, P("of"), x)]
+    plain = rows(match(member, clauses), id_of("a"), id_of("b"), id_of("x"))
+    assert len(plain) == 50 * 50 + 11
+    monkeypatch.setattr("factloom.operators.patterns.PART_PAIRS", 100)
+    found = match(member, clauses)
+    assert found.columns == ["a", "x", "b"] and rows(found, id_of("a"), id_of("b"), id_of("x")) == plain
+    by_task = sorted(r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect())
+    assert len(by_task) == 4 and by_task[-1] < 1500  # one task made them all
+    # an optional clause finds none for some and many for others
+    some = member.filter("on_id <> 'none'").withColumn("p_id", F.lit("in")).withColumn("p", F.lit("in@"))
+    left = match(member.union(some), [clause(a, P("of"), x), optional(b, P("in"), x)])
+    assert left.count() == 50 * 50 + 11 and left.filter("b is null").count() == 1
+
+
 def test_optional(facts):
     found = match(facts, [clause(a, P("feeds"), b), optional(b, P("fill_minutes"), n)])
     assert rows(found, id_of("b"), F.coalesce(int_of("n"), F.lit(0))) == [("basin", -7), ("fish market", 0), ("long", 0), ("short", 0), ("slip", 9)]
