@@ -90,6 +90,13 @@ def _about(base: tuple[dict, dict, dict], name: Column) -> list[tuple[dict, dict
     return [(on, told("_subject"), subject), (on, told("_predicate"), predicate), (on, told("_object"), o)]
 
 
+def _variables(templates: list[Template]) -> list[str]:
+    """Names of all variables that templates use, each once."""
+    parts = [x for t in templates for x in (t.subject, t.predicate, t.object, *(y for pair in t.more for y in pair))]
+    parts = [x.at if isinstance(x, Anchored) else x for x in parts]
+    return list(dict.fromkeys(x.name for x in parts if isinstance(x, Var)))
+
+
 def construct(rows: DataFrame, templates: list[Template], graphs: tuple[str, ...]) -> DataFrame:
     """Facts of all templates for all rows, in each of the graphs.
 
@@ -97,6 +104,10 @@ def construct(rows: DataFrame, templates: list[Template], graphs: tuple[str, ...
     the template and the fact, so that it is the same however often a row is computed.
     """
     made = []
+    names = _variables(templates)
+    if names:
+        # repeats go while rows are few and narrow, before facts are made of them
+        rows = rows.select(*names).distinct()
     for nth, t in enumerate(templates):
         base = (_subject(t.subject), _predicate(t.predicate), _object(t.object, rows))
         if not t.more:
@@ -110,8 +121,12 @@ def construct(rows: DataFrame, templates: list[Template], graphs: tuple[str, ...
         on = {"s_type": F.lit(BLANK), "s_id": name, "s": node_key(F.lit(BLANK), name)}
         made += _about(base, name) + [(on, p, o) for p, o in pairs]
     structs = [_struct(F.lit(g), *m) for g in graphs for m in made]
+    facts = rows.select(F.explode(F.array(*structs)).alias("fact")).select("fact.*")
+    if len(templates) == 1 and names:
+        # hardly any two facts of different rows are equal now, so a table of those in a task before they are dealt would only fill its memory
+        facts = facts.repartition("graph", "s", "p", "o")
     # equal rows are hashed away; facts that differ in how a time is written become one where they are stored
-    return rows.select(F.explode(F.array(*structs)).alias("fact")).select("fact.*").distinct()
+    return facts.distinct()
 
 
 def reify(facts: DataFrame) -> DataFrame:

@@ -246,6 +246,20 @@ def test_templates(facts):
         construct(match(facts, [clause(a, P("sign"), o)]), [Template(o, P("p"), a)], ("?x",)).collect()
 
 
+def test_facts_of_templates_fill_no_table_before_they_are_dealt(spark, facts):
+    moored = match(facts, [clause(a, Anchored("moored", t), b)])
+    told = construct(moored.union(moored), [Template(a, Anchored("seen", t), b, ((P("sure"), Literal("bool", True)), (P("sure"), Literal("bool", True))))], ("?x",))
+    plan = told._jdf.queryExecution().executedPlan().toString()
+    # between the facts and their shuffle nothing is aggregated; below the facts, rows are
+    above, below = plan[: plan.index("Generate")], plan[plan.index("Generate") :]
+    assert "Aggregate" not in above[above.index("Exchange") :] and below.count("HashAggregate") >= 2
+    assert told.count() == 20
+    # a time that is written in two ways makes two rows, which share the facts that have no time
+    late = moored.withColumn("t", F.struct("t.kind", "t.key", "t.ns", F.concat("t.txt", F.lit(" ")).alias("txt")))
+    both = construct(moored.union(late), [Template(a, Anchored("seen", t), b, ((P("sure"), Literal("bool", True)),))], ("?x",))
+    assert both.count() == 35 and both.dropDuplicates(["graph", "s", "p", "o"]).count() == 20
+
+
 def test_text_and_json_of_results(facts):
     found = match(facts, [clause(Part(a, id=x), Part(P("moored", "2031-06-03T05:15:00Z"), alias=p, at=t), b), optional(b, P("nowhere"), y)]).select("x", "p", "t", "b", "y")
     assert to_text(found).collect()[0][0] == 'tern\t"moored"@[2031-06-03T07:15:00+02:00]\t2031-06-03T07:15:00+02:00\t/quay<short>\t<NULL>'
